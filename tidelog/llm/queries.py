@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import sql
+from tidelog.llm.secrets import BASE, find_secrets, listed
 from tidelog.llm.simhash import near_duplicates
 from tidelog.llm.token_counts import token_counts
 from tidelog.llm.winnow import find_benchmark, n_hit
@@ -34,12 +35,23 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s.nr <= len(BASE))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in BASE]
+    return found.select("doc.doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict:
-    return {"op4_winnow": op4_winnow, "op5_simhash": op5_simhash, "op10_token_counts": op10_token_counts}
+    return {"op4_winnow": op4_winnow, "op5_simhash": op5_simhash, "op9_secrets": op9_secrets, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
