@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import sql
 from tidelog.llm.secrets import BASE, find_secrets, listed
+from tidelog.llm.sharding import assign_shards
 from tidelog.llm.simhash import near_duplicates
 from tidelog.llm.token_counts import token_counts
 from tidelog.llm.winnow import find_benchmark, n_hit
@@ -35,6 +36,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = assign_shards(_table(spark, sf_dir, "documents"), shards=24)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s.nr <= len(BASE))
@@ -51,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_winnow": op4_winnow, "op5_simhash": op5_simhash, "op9_secrets": op9_secrets, "op10_token_counts": op10_token_counts}
+    return {"op4_winnow": op4_winnow, "op5_simhash": op5_simhash, "op8_sharding": op8_sharding, "op9_secrets": op9_secrets, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
