@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import sql
+from tidelog.llm.packing import pack_documents
 from tidelog.llm.secrets import BASE, find_secrets, listed
 from tidelog.llm.sharding import assign_shards
 from tidelog.llm.simhash import near_duplicates
@@ -36,6 +37,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = assign_shards(_table(spark, sf_dir, "documents"), shards=24)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -57,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_winnow": op4_winnow, "op5_simhash": op5_simhash, "op8_sharding": op8_sharding, "op9_secrets": op9_secrets, "op10_token_counts": op10_token_counts}
+    return {"op4_winnow": op4_winnow, "op5_simhash": op5_simhash, "op7_packing": op7_packing, "op8_sharding": op8_sharding, "op9_secrets": op9_secrets, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
