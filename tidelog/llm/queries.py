@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import sql
+from tidelog.llm.language import identify_language
 from tidelog.llm.packing import pack_documents
 from tidelog.llm.secrets import BASE, find_secrets, listed
 from tidelog.llm.sharding import assign_shards
@@ -19,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(_table(spark, sf_dir, "documents"))
+
+
 def op4_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     n_items = F.size("items").cast("long")
@@ -62,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_winnow": op4_winnow, "op5_simhash": op5_simhash, "op7_packing": op7_packing, "op8_sharding": op8_sharding, "op9_secrets": op9_secrets, "op10_token_counts": op10_token_counts}
+    return {"op2_language": op2_language, "op4_winnow": op4_winnow, "op5_simhash": op5_simhash, "op7_packing": op7_packing, "op8_sharding": op8_sharding, "op9_secrets": op9_secrets, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
