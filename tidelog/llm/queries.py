@@ -13,6 +13,7 @@ from tidelog.llm.secrets import BASE, find_secrets, listed
 from tidelog.llm.sharding import assign_shards
 from tidelog.llm.simhash import near_duplicates
 from tidelog.llm.token_counts import token_counts
+from tidelog.llm.toxicity import toxicity
 from tidelog.llm.winnow import find_benchmark, n_hit
 
 
@@ -24,6 +25,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     n_items = F.size("items").cast("long")
@@ -67,7 +72,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_language": op2_language, "op4_winnow": op4_winnow, "op5_simhash": op5_simhash, "op7_packing": op7_packing, "op8_sharding": op8_sharding, "op9_secrets": op9_secrets, "op10_token_counts": op10_token_counts}
+    return {"op2_language": op2_language, "op3_toxicity": op3_toxicity, "op4_winnow": op4_winnow, "op5_simhash": op5_simhash, "op7_packing": op7_packing, "op8_sharding": op8_sharding, "op9_secrets": op9_secrets, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
