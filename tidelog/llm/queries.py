@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import sql
+from tidelog.llm.knn import knn_join, quantised
 from tidelog.llm.language import identify_language
 from tidelog.llm.packing import pack_documents
 from tidelog.llm.secrets import BASE, find_secrets, listed
@@ -21,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), quantised("embedding").alias("vec"))
+    return knn_join(data, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_table(spark, sf_dir, "documents"))
 
@@ -72,8 +78,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_language": op2_language, "op3_toxicity": op3_toxicity, "op4_winnow": op4_winnow, "op5_simhash": op5_simhash, "op7_packing": op7_packing, "op8_sharding": op8_sharding, "op9_secrets": op9_secrets, "op10_token_counts": op10_token_counts}
+    return {"op1_voronoi": op1_voronoi, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op4_winnow": op4_winnow, "op5_simhash": op5_simhash, "op7_packing": op7_packing, "op8_sharding": op8_sharding, "op9_secrets": op9_secrets, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_winnow": sql.OP4}
+    return {"op1_voronoi": sql.OP1, "op4_winnow": sql.OP4}
