@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -11,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,10 +75,11 @@ def _norms(texts: list[str]) -> np.ndarray:
 
 def features(texts: list[str]) -> np.ndarray:
     """Each unit's subsequences as a row; the kernel is the product of two rows."""
-    out = np.zeros((len(texts), _SIZE**3))
+    out = np.zeros((len(texts), _SIZE**3), np.float32)
     for at, code, w in _occurrences(texts):
         np.add.at(out, (at, code), w)
-    return out / _norms(texts)[:, None]
+    out /= _norms(texts)[:, None]
+    return out
 
 
 def kernel(texts: list[str], marks: np.ndarray) -> np.ndarray:
@@ -123,6 +124,10 @@ def _calibrated(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float
     return max(float(w[0]), 0.0), float(w[1])
 
 
+#: Margin of a text without units.
+_NONE = -1.0
+
+
 @dataclass
 class Model:
     #: The landmarks' expansion summed up into one weight for each subsequence.
@@ -153,67 +158,97 @@ def _spread(names: list[str], most: int) -> list[str]:
     return [names[i] for i in out]
 
 
-def _apart(bags: list[set[str]]) -> list[set[str]]:
-    """The bags without copies of one before, lest a group of copies makes its every unit look frequent."""
-    seen, out, known = Counter(u for d in bags for u in d), [], {}
-    for d in bags:
-        rare = sorted(zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in d if len(u) > 5 and seen[u] < max(20, len(bags) // 8))[:SKETCH]
-        others = Counter(known[h] for h in rare if h in known)
-        if rare and others and others.most_common(1)[0][1] >= min(COPY, len(rare)):
-            continue
-        known |= {h: len(out) for h in rare}
-        out.append(d)
-    return out
-
-
-def train(toxic: list[set[str]], clean: list[set[str]], toxic_share: float) -> Model | None:
+@dataclass
+class Sample:
+    """Documents as bags of units: ``units`` sorted, each bag an array of positions there, toxic bags first."""
+
+    units: list[str]
+    bags: list[np.ndarray]
+    toxic: int
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Sample:
+        """From rows of (toxic, units); the same for any order of rows."""
+        toxic = table.column("toxic").to_numpy() == 1
+        lists = table.column("units").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        order = sorted(range(len(names)), key=names.__getitem__)
+        rank = np.empty(len(names), np.int32)
+        rank[order] = np.arange(len(names), dtype=np.int32)
+        codes = rank[coded.indices.to_numpy()] if len(names) else np.zeros(0, np.int32)
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy()) if len(lists) else np.zeros(0, int)
+        bags = [np.unique(x) for x in np.split(codes, ends[:-1])] if len(lists) else []
+        bags = [sorted((x for x, t in zip(bags, toxic, strict=True) if t == want), key=lambda x: x.tobytes()) for want in (True, False)]
+        return cls([names[i] for i in order], bags[0] + bags[1], len(bags[0]))
+
+    def counts(self, bags: list[np.ndarray]) -> np.ndarray:
+        return np.bincount(np.concatenate([*bags, np.zeros(0, np.int32)]), minlength=len(self.units))
+
+    def apart(self) -> Sample:
+        """Without copies of bags before them, lest a group of copies makes its every unit look frequent."""
+        hashes = np.array([zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in self.units], np.int64)
+        long_, kept = np.array([len(u) > 5 for u in self.units]), []
+        for bags in (self.bags[: self.toxic], self.bags[self.toxic :]):
+            rare, known, out = long_ & (self.counts(bags) < max(20, len(bags) // 8)), {}, []
+            for bag in bags:
+                sketch = np.sort(hashes[bag[rare[bag]]])[:SKETCH].tolist()
+                others = Counter(known[h] for h in sketch if h in known)
+                if others and others.most_common(1)[0][1] >= min(COPY, len(sketch)):
+                    continue
+                known |= dict.fromkeys(sketch, len(out))
+                out.append(bag)
+            kept.append(out)
+        return Sample(self.units, kept[0] + kept[1], len(kept[0]))
+
+
+def train(sample: Sample, toxic_share: float) -> Model | None:
     """Multiple-instance SVM: a document (a bag of its sentences' units) is toxic for the unit that stands out most.
 
     Units that come with the label begin as positives; each further round takes from every toxic document the unit
     with the largest margin, and to the negatives the clean documents' largest.
     """
-    toxic, clean = _apart(toxic), _apart(clean)
-    seen, not_ = Counter(u for d in toxic for u in d), Counter(u for d in clean for u in d)
-    least = min(LEAST_SEEN, max(2, len(toxic) // 8))
-    positive = sorted((u for u, n in seen.items() if n >= least and not_[u] <= 0.01 * n and (_symbols(np.array([*map(ord, u)], np.uint32)) > 0).sum() > 2), key=lambda u: (-seen[u], u))[:1500]
-    if not positive or not clean:
+    sample = sample.apart()
+    units, bags, toxic = sample.units, sample.bags, sample.toxic
+    clean = len(bags) - toxic
+    if not toxic or not clean:
         return None
-    draw = np.random.default_rng(SEED)
-    other = sorted(not_)
-    negative = [other[i] for i in draw.permutation(len(other))[:NEGATIVES]]
-    negative += [u for u, _ in sorted(not_.items(), key=lambda x: (-x[1], x[0]))[:1000]]
-    bags = [sorted(d) for d in toxic + clean]
-    everything = sorted(set().union(*bags))
-    where = {u: i for i, u in enumerate(everything)}
-    model = None
+    seen, not_ = sample.counts(bags[:toxic]), sample.counts(bags[toxic:])
+    least = min(LEAST_SEEN, max(2, toxic // 8))
+    letters = np.array([sum(c.isalpha() for c in u) for u in units])
+    by_seen = lambda at: sorted(map(int, at), key=lambda i: (-seen[i], i))
+    positive = by_seen(np.flatnonzero((seen >= least) & (not_ <= 0.01 * seen) & (letters > 2)))[:1500]
+    if not positive:
+        return None
+    other = np.flatnonzero(not_)
+    negative = np.random.default_rng(SEED).permutation(other)[:NEGATIVES].tolist()
+    negative += sorted(other.tolist(), key=lambda i: (-not_[i], i))[:1000]
+    negative = list(dict.fromkeys(negative))
+    named = lambda at: [units[i] for i in at]
     for _ in range(ROUNDS):
-        names = _spread(positive[:400], LANDMARKS // 2) + _spread(negative[:400], LANDMARKS // 2)
+        names = _spread(named(positive[:400]), LANDMARKS // 2) + _spread(named(negative[:400]), LANDMARKS // 2)
         marks = features(names)
         value, vector = np.linalg.eigh(marks @ marks.T)
         root = vector[:, value > 1e-8] / np.sqrt(value[value > 1e-8])
-        texts = positive + negative
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        often = np.array([seen[u] for u in positive], float) ** 0.5
-        weight = np.concatenate([often / often.sum(), np.full(len(negative), 1 / len(negative))]) * len(texts)
-        w = _squared_hinge(kernel(texts, marks) @ root, y, weight)
+        often = seen[positive] ** 0.5
+        weight = np.concatenate([often / often.sum(), np.full(len(negative), 1 / len(negative))]) * len(y)
+        w = _squared_hinge(kernel(named(positive + negative), marks) @ root, y, weight)
         model = Model((root @ w[:-1]) @ marks, float(w[-1]), 1.0, 0.0)
-        margin = np.concatenate([model.margins(everything[i : i + 20_000]) for i in range(0, len(everything), 20_000)])
-        best = [max(((margin[where[u]], u) for u in d), default=(-1.0, "")) for d in bags]
-        witness = Counter(u for m, u in best[: len(toxic)] if m > 0.5 and not not_[u])
-        positive = sorted(set(positive) | {u for u, n in witness.items() if n >= 3}, key=lambda u: (-seen[u], u))[:2000]
-        negative = sorted({u for m, u in best[len(toxic) :] if u and m > -0.5}) + negative
-        negative = list(dict.fromkeys(u for u in negative if u not in set(positive)))[: 2 * NEGATIVES]
-    m = np.array([x for x, _ in best])
-    y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
-    weight = np.where(y > 0, toxic_share / max(1, len(toxic)), (1 - toxic_share) / len(clean)) * len(m)
-    model.slope, model.offset = _calibrated(m, y, weight)
+        margin = np.concatenate([model.margins(units[i : i + 20_000]) for i in range(0, len(units), 20_000)])
+        top = [int(bag[margin[bag].argmax()]) if len(bag) else -1 for bag in bags]
+        best = np.array([margin[i] if i >= 0 else _NONE for i in top])
+        witness = Counter(i for i in top[:toxic] if i >= 0 and margin[i] > 0.5 and not not_[i])
+        positive = by_seen({*positive, *(i for i, n in witness.items() if n >= 3)})[:2000]
+        known = set(positive)
+        hard = sorted({i for i in top[toxic:] if i >= 0 and margin[i] > -0.5})
+        negative = [i for i in dict.fromkeys(hard + negative) if i not in known][: 2 * NEGATIVES]
+    y = np.array([1.0] * toxic + [0.0] * clean)
+    weight = np.where(y > 0, toxic_share / toxic, (1 - toxic_share) / clean) * len(y)
+    model.slope, model.offset = _calibrated(best, y, weight)
     return model
 
 
-#: Margin of a text without units.
-_NONE = -1.0
-
-
 class Scorer:
     """Scores of whole texts; a worker remembers the margins of the units it has met."""
 
@@ -272,9 +307,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, i
     share = F.when(F.col("toxic") == 1, F.lit(min(1, SAMPLE_TOXIC / counts[1]))).otherwise(F.lit(min(1, SAMPLE_CLEAN / counts[0])))
     chosen = marks.where(h < share * (1 << 30))
     found = docs.select(at.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(chosen, "id")
-    rows = found.select(F.col("toxic").cast("int"), "text").mapInArrow(_bags, "toxic int, units array<string>").collect()
-    bags = sorted((r.toxic, sorted(map(sys.intern, r.units))) for r in rows)
-    return train([set(u) for t, u in bags if t == 1], [set(u) for t, u in bags if t == 0], counts[1] / (counts[0] + counts[1]))
+    bags = found.select(F.col("toxic").cast("int"), "text").mapInArrow(_bags, "toxic int, units array<string>").toArrow()
+    return train(Sample.of(bags), counts[1] / (counts[0] + counts[1]))
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
