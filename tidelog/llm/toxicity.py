@@ -306,7 +306,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, i
     h = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(SEED)), F.lit(1 << 30))
     share = F.when(F.col("toxic") == 1, F.lit(min(1, SAMPLE_TOXIC / counts[1]))).otherwise(F.lit(min(1, SAMPLE_CLEAN / counts[0])))
     chosen = marks.where(h < share * (1 << 30))
-    found = docs.select(at.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(chosen, "id")
+    # the sample's bound is also that of what is sent to every task; the texts are not moved
+    found = docs.select(at.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(chosen), "id")
     bags = found.select(F.col("toxic").cast("int"), "text").mapInArrow(_bags, "toxic int, units array<string>").toArrow()
     return train(Sample.of(bags), counts[1] / (counts[0] + counts[1]))
 
