@@ -72,7 +72,7 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Pairs that share ``LEAST_BYTES`` positional bytes, then verified bit by bit."""
     differ = a ^ b
     tally = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
-    return (tally >= LEAST_BYTES) & (np.bitwise_count(differ) <= MOST_BITS)
+    return (tally >= LEAST_BYTES) & (np.bitwise_count(differ.view(np.uint64)) <= MOST_BITS)
 
 
 def spanning_links(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
