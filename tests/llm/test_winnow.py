@@ -1,0 +1,62 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+from samples import prose
+
+from tidelog.llm import winnow
+from tidelog.llm.winnow import Index, decontaminate, find, find_benchmark
+
+
+def plain_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def plain(text, items):
+    words, hit, found = plain_words(text), set(), set()
+    for i, t in items:
+        own = plain_words(t)
+        k = min(8, len(own))
+        spans = {tuple(own[j : j + k]) for j in range(len(own) - k + 1)} if k else set()
+        for p in range(len(words) - k + 1) if k else ():
+            if tuple(words[p : p + k]) in spans:
+                hit |= set(range(p, p + k))
+                found.add(i)
+    return len(words), len(hit), sorted(found)
+
+
+ITEMS = [("1", prose(1, 30)), ("2", prose(2, 9)), ("3", "Short-Item here"), ("4", "solo"), ("5", ""), ("10", prose(1, 12)), ("11", "the the the the the the the the the")]
+
+
+@pytest.mark.parametrize("step", [64, 1 << 20])
+def test_finds_what_brute_force_finds(step, monkeypatch):
+    monkeypatch.setattr(winnow, "STEP", step)
+    monkeypatch.setattr(winnow, "_UP", winnow._powers(step, int(winnow._BASE)))
+    monkeypatch.setattr(winnow, "_DOWN", winnow._powers(step, pow(int(winnow._BASE), -1, 1 << 64)))
+    one = prose(1, 30).split()
+    texts = [prose(7, 100), " ".join(one), prose(8, 20) + " " + " ".join(one[5:14]).upper() + "," + prose(9, 20), " ".join(one[3:10]), "a short item! HERE solo", "", "é", "x" * 500,
+             "the " * 40, " ".join(one[:8]) + ". " + prose(2, 9), "solo" * 3, "short\x00item\x7fhere", prose(2, 9) + "end", "漢字 short item here"]
+    got = find([t.encode() for t in texts], Index(ITEMS))
+    for t, (n, runs, items) in zip(texts, got, strict=True):
+        assert (n, sum(b - a for a, b, _, _ in runs), sorted(items)) == plain(t, ITEMS), t
+        for a, b, x, y in runs:
+            assert plain_words(t.encode()[x:y].decode()) == plain_words(t)[a:b]
+
+
+def test_cases_and_blocks(spark, edge_docs, no_docs):
+    items = spark.createDataFrame([(int(i), t, 1) for i, t in ITEMS] + [(None, "one two", 1), (12, None, 1), (12, "one two", 1), (13, prose(1, 60), 1)], "item_id long, text string, doc_id int")
+    usable = [*ITEMS, ("12", "one two"), ("13", prose(1, 60))]
+    want = sorted((r.doc_id or -1, *plain(r.text, usable)) for r in edge_docs.collect())
+    for block in (1 << 20, 80):
+        found = find_benchmark(edge_docs, items, block_bytes=block).withColumn("hit", winnow.n_hit())
+        assert sorted((r.doc_id or -1, r.n_words, r.hit, list(r["items"])) for r in found.collect()) == want
+    assert find_benchmark(no_docs, items).count() == 0
+    assert find_benchmark(edge_docs, items.where("false")).where(F.size("items") > 0).count() == 0
+
+
+def test_decontaminate(spark):
+    one, two = prose(1, 20), prose(2, 20)
+    items = spark.createDataFrame([(1, one), (2, two)], "item_id long, text string")
+    rows = [(1, "clean text é", 12), (2, f"ä before {one}. after", 0), (3, f"{one} {two}", 0), (4, None, None)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in decontaminate(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), items).collect()}
+    assert got == {1: ("clean text é", 12), 2: ("ä before . after", 16), 4: (None, None)}
