@@ -25,6 +25,12 @@ def false_positives(m: Column, k: Column, n: Column) -> Column:
     return F.pow(1 - F.exp(-(k * n) / m), k)
 
 
+def _finished(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
 class BloomFilter:
     """Membership of byte keys; never a false no. Filters of one size can be joined bit by bit."""
 
@@ -36,7 +42,10 @@ class BloomFilter:
         self.array, self.added = np.zeros(self.m, bool), 0
 
     def _at(self, keys: list[bytes]) -> np.ndarray:
-        return np.stack([fnv1a_64([k + salt.to_bytes(8, "little") for k in keys]) % np.uint64(self.m) for salt in range(self.k)])
+        """k positions for each key: steps of one hash from another, both finished so that all their bits differ."""
+        h = fnv1a_64(keys)
+        a, b = _finished(h), _finished(h ^ np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        return np.stack([(a + np.uint64(i) * b) % np.uint64(self.m) for i in range(self.k)])
 
     def add(self, *keys: bytes) -> None:
         if keys:
