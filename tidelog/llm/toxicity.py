@@ -19,8 +19,9 @@ SPAN, DECAY = 7, 0.5
 #: Bounds of the training sample: toxic and other documents (as expected by a hash of the id), characters of a unit.
 SAMPLE_TOXIC, SAMPLE_CLEAN, UNIT_CHARS = 1500, 4500, 48
 LANDMARKS, NEGATIVES, COST, ROUNDS, SEED = 160, 8000, 10.0, 3, 11
-#: Of a document's SKETCH least-hashed rare units, as many in common make two sampled documents copies.
-SKETCH, COPY = 12, 4
+#: Sampled documents with COPY of their SKETCH least-hashed long units in common are compared; with this share of all
+#: their units in common they count as copies.
+SKETCH, COPY, ALIKE = 12, 4, 0.5
 #: A unit counts as an insult at first if this many sampled toxic documents hold it and next to no clean ones.
 LEAST_SEEN = 8
 MEMO_UNITS = 1_000_000
@@ -188,14 +189,17 @@ class Sample:
     def apart(self) -> Sample:
         """Without copies of bags before them, lest a group of copies makes its every unit look frequent."""
         hashes = np.array([zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in self.units], np.int64)
-        long_, kept = np.array([len(u) > 5 for u in self.units]), []
+        long_, kept = np.array([len(u) > 5 for u in self.units], bool), []
         for bags in (self.bags[: self.toxic], self.bags[self.toxic :]):
-            rare, known, out = long_ & (self.counts(bags) < max(20, len(bags) // 8)), {}, []
+            known, out = {}, []
             for bag in bags:
-                sketch = np.sort(hashes[bag[rare[bag]]])[:SKETCH].tolist()
-                others = Counter(known[h] for h in sketch if h in known)
-                if others and others.most_common(1)[0][1] >= min(COPY, len(sketch)):
-                    continue
+                sketch = np.sort(hashes[bag[long_[bag]]])[:SKETCH].tolist()
+                others = Counter(known[h] for h in sketch if h in known).most_common(1)
+                if others and others[0][1] >= min(COPY, len(sketch)):
+                    other = out[others[0][0]]
+                    same = len(np.intersect1d(bag, other, assume_unique=True))
+                    if same >= ALIKE * (len(bag) + len(other) - same):
+                        continue
                 known |= dict.fromkeys(sketch, len(out))
                 out.append(bag)
             kept.append(out)
