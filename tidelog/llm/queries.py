@@ -10,6 +10,7 @@ from tidelog.llm import sql
 from tidelog.llm.knn import knn_join, quantised
 from tidelog.llm.language import identify_language
 from tidelog.llm.packing import pack_documents
+from tidelog.llm.repeats import repeated_passages
 from tidelog.llm.secrets import BASE, find_secrets, listed
 from tidelog.llm.sharding import assign_shards
 from tidelog.llm.simhash import near_duplicates
@@ -53,6 +54,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -78,7 +83,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_voronoi": op1_voronoi, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op4_winnow": op4_winnow, "op5_simhash": op5_simhash, "op7_packing": op7_packing, "op8_sharding": op8_sharding, "op9_secrets": op9_secrets, "op10_token_counts": op10_token_counts}
+    return {"op1_voronoi": op1_voronoi, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op4_winnow": op4_winnow, "op5_simhash": op5_simhash, "op6_repeats": op6_repeats, "op7_packing": op7_packing, "op8_sharding": op8_sharding, "op9_secrets": op9_secrets, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
