@@ -195,6 +195,9 @@ def test_policies():
     big = select_compaction(Manifest(tables=(_t(1, 2, "a", "b", 100), _t(1, 1, "c", "d", 100), _t(2, 1, "c", "e", 5)), config=Config()))
     assert big.target == 2 and [t.path for t in big.inputs] == ["t11", "t21"]
     assert select_compaction(Manifest(tables=(_t(0, 1, "a", "b"),), config=Config())) is None
+    alone = select_compaction(Manifest(tables=(_t(1, 2, "a", "b"), _t(1, 1, "c", "d")), config=Config()))
+    assert alone.target == 2 and [t.path for t in alone.inputs] == ["t11"]
+    assert select_compaction(Manifest(tables=(_t(6, 2, "a", "b"),), config=Config())) is None
     segments = tuple(Segment(f"s{i}", 5 * i + 1, 5 * i + 5, 5, 1, 100.0 + i) for i in range(5))
     m = Manifest(segments=segments, flushed_seq=25)
     assert [s.path for s in expired_segments(m, 200, most=3)] == ["s0", "s1"]

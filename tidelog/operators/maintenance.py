@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +65,8 @@ def flush(store: Store, m: Manifest) -> Manifest:
 class Task:
     inputs: tuple[Table, ...]
     target: int
+    #: A lone table over an empty level moves as it is.
+    move: bool = False
 
 
 def _oldest(tables: list[Table]) -> Table:
@@ -89,8 +91,9 @@ def select_compaction(m: Manifest) -> Task | None:
         own, next_ = by.get(level, []), by.get(level + 1, [])
         if level == 0 or not own:
             continue
-        small = sum(t.size for t in next_)
-        if next_ and sum(t.size for t in own) / max(1, small) >= m.config.compaction_ratio:
+        if not next_:
+            return Task((_oldest(own),), level + 1, move=True)
+        if sum(t.size for t in own) / max(1, sum(t.size for t in next_)) >= m.config.compaction_ratio:
             return Task(_with_overlaps([_oldest(own)], m.tables, level + 1), level + 1)
     return None
 
@@ -118,6 +121,9 @@ def compact(store: Store, m: Manifest, task: Task, now: float | None = None, kee
     of its key: then the task's inputs include all that overlap at the target level and below.
     """
     now = time.time() if now is None else now
+    if task.move:
+        only = task.inputs[0]
+        return store.commit(m, tables=tuple(replace(t, level=task.target) if t == only else t for t in m.tables))
     merged = latest(store._read([t.path for t in task.inputs]))
     paths = {t.path for t in task.inputs}
     firsts, lasts = [t.first_key for t in task.inputs if t.first_key], [t.last_key for t in task.inputs if t.last_key]
