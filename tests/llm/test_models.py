@@ -53,7 +53,7 @@ def test_every_window_counts():
     net.train(x, np.concatenate([[i % 2] * len(windows(t)) for i, t in enumerate(texts)]))
     short, long_ = lang_text("en", 99, 40), lang_text("xx", 99, 4000)
     assert predict(net, [short + " " + long_])[0][0] == "xx" and predict(net, [short])[0][0] == "en"
-    assert predict(net, ["", None, "123 !!", "é"])[:3] == [("und", 0.0)] * 3
+    assert predict(net, ["", None, "123 !! ² Ⅷ _", "é"])[:3] == [("und", 0.0)] * 3 and predict(net, ["é"])[0][0] != "und"
 
 
 def test_language_cases(edge_docs, no_docs, lang_docs):

@@ -17,7 +17,7 @@ EPOCHS, BATCH, RATE, SEED = 6, 64, 0.02, 7
 UNKNOWN = "und"
 #: Windows whose responses are held at once.
 STEP = 1024
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 
 
 def windows(text: str) -> np.ndarray:
@@ -28,6 +28,10 @@ def windows(text: str) -> np.ndarray:
     return out.reshape(-1, WINDOW)
 
 
+def has_letter(text: str) -> bool:
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 class Network:
     """Filters of several widths over bytes, the largest response of each (if positive), and a softmax."""
 
@@ -130,7 +134,7 @@ def fit(docs: DataFrame, learn: F.Column, text_col: str = "text", lang_col: str
 
 def predict(net: Network | None, texts: list[str | None]) -> list[tuple[str, float]]:
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-    asked = [i for i, t in enumerate(texts) if net and t and _LETTER.search(t)]
+    asked = [i for i, t in enumerate(texts) if net and t and has_letter(t)]
     if not asked:
         return out
     parts = [windows(texts[i]) for i in asked]
