@@ -3,10 +3,13 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from samples import prose
 from tokenizers import Tokenizer
 
-from tidelog.llm.packing import encoder, pack_documents, pack_histogram, slots
-from tidelog.llm.token_counts import load_tokenizer, token_counts, tokenizer_version
+from tidelog.llm import tokenizing
+from tidelog.llm.packing import pack_documents, pack_histogram, slots
+from tidelog.llm.token_counts import token_counts, tokenizer_version
+from tidelog.llm.tokenizing import counter, encoder
 
 WORD, BYTE, PIECE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 
@@ -30,16 +33,25 @@ def test_other_tokenizer_has_its_own_counts(docs, tmp_path):
     a = {r.doc_id: r.n_tokens for r in token_counts(docs, BYTE, cache).collect()}
     b = {r.doc_id: r.n_tokens for r in token_counts(docs, PIECE, cache).collect()}
     assert a != b and len(a) == len(b) == docs.count()
-    assert load_tokenizer(PIECE)(["", "a b"])[0] == 0
+    assert counter(PIECE)(["", "a b"])[0] == 0
 
 
-def test_fast_encoding_is_the_tokenizers():
-    model = Tokenizer.from_file(WORD)
-    texts = ["", "Hello, WORLD's don't 'S 'xx ''' it'll 123 a1b2", "É ß ÿ Ÿ İ ı Ǆ ʼn × ÷ ª", "<|endoftext|> x", "á è", "漢字 😀", "x" * 5000, "a\x1cb\x85c\xa0d　e", "# % && *** $$$ ''s 's", "ŀs ſt K", "\t\n mixed \r\n"]
-    encode = encoder(WORD)
-    for _ in range(2):
-        got = [np.frombuffer(x, "<u4").tolist() for x in encode(texts)]
-        assert got == [model.encode(t, add_special_tokens=False).ids for t in texts]
+TEXTS = ["", "Hello, WORLD's don't 'S 'xx ''' it'll 123 a1b2", "É ß ÿ Ÿ İ ı Ǆ ŉ × ÷ ª", "<|endoftext|> x", "a\u0301 e\u0300", "漢字 😀", "x" * 5000, "a\x1cb\x85c\xa0d\u3000e",
+         "# % && *** $$$ ''s 's", "ŀs ſt K", "\t\n mixed \r\n", "two  spaces   three\n\n  lines \t x  ", "  lead", "trail  ", "don't  we'll\n'tis", " 12 3,4.5  6", "É's É 's", "<|startoftext|>", "ñoño 'll'd"]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+@pytest.mark.parametrize("most", [4, 150_000])
+def test_remembered_words_are_the_tokenizers(path, most, monkeypatch):
+    monkeypatch.setattr(tokenizing, "MEMO_WORDS", most)
+    tokenizing._known.clear()
+    model = Tokenizer.from_file(path)
+    texts = [*TEXTS, *(prose(i, 50) + "!  \n" + prose(i, 5).upper() for i in range(20))]
+    want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(3):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder(path)(texts)] == want
+        assert counter(path)(texts) == [len(x) for x in want]
+    tokenizing._known.clear()
 
 
 @pytest.mark.parametrize("capacity", [16, 2048])

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,70 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.llm.tokenizing import encoder
 from tidelog.session import keep
 
 CAPACITY, END_ID = 2048, 1
-#: Distinct words whose ids a worker remembers, and the longest word that is.
-MEMO_WORDS, MEMO_CHARS = 1_000_000, 40
 _FIELDS = [("doc_id", None), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int64()), ("nth", pa.int64()), ("ids", pa.binary())]
 
-# For a tokenizer that lower-cases, drops white space and merges within words, a text's ids are its
-# words' ids in order. Words are looked up by the tokenizer once and remembered, which is
-# several times faster than encoding each text. This holds for the characters below, on which this pattern
-# and the tokenizer's own agree; a text with any other character, or with a special token, is encoded whole.
-_SAFE = re.compile("[\t\n\r -~À-įı-ɏ]*")
-_LETTERS = "a-zß-öø-ɏ"
-_WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
-#: The pattern of the tokenizers that the fast way holds for, as their files state it (a fixed value).
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-_encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
-
-
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """From texts to their ids, as little-endian unsigned 32-bit numbers; one a worker, with its memory of words."""
-    if path not in _encoders:
-        _encoders[path] = _encoder(path)
-    return _encoders[path]
-
-
-def _encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    import json
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    model.no_truncation()
-    model.no_padding()
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    special = [x["content"] for x in spec.get("added_tokens") or []]
-    steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-    splits = [x.get("pattern", {}).get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-    by_word = steps == ["NFC", "Replace", "Lowercase"] and _SPLIT in splits and not spec.get("post_processor")
-    memo: dict[str, bytes] = {}
-
-    def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        fast = [by_word and bool(_SAFE.fullmatch(t)) and not any(s in t for s in special) for t in texts]
-        words = [_WORD.findall(t.lower()) if ok else () for t, ok in zip(texts, fast, strict=True)]
-        new = list({w for ws in words for w in ws if w not in memo})
-        rare = {}
-        for w, ids in zip(new, whole(new), strict=True):
-            (memo if len(w) <= MEMO_CHARS else rare)[w] = ids
-        known = memo | rare if rare else memo
-        slow = iter(whole([t for t, ok in zip(texts, fast, strict=True) if not ok]))
-        out = [b"".join(map(known.__getitem__, ws)) if ok else next(slow) for ws, ok in zip(words, fast, strict=True)]
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        return out
-
-    return encode
-
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
@@ -104,7 +45,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
             for i, t in enumerate(b.column(1)):
                 texts.append(t.as_py() or "")
                 size += len(texts[-1])
-                if size > 4_000_000 or i + 1 == b.num_rows:
+                if size > 1_000_000 or i + 1 == b.num_rows:
                     yield cut(b.column(0).slice(first, i + 1 - first), texts)
                     texts, size, first = [], 0, i + 1
 

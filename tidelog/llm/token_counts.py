@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.tokenizing import counter
 from tidelog.session import keep, scratch_path
 
 SCHEMA = "digest binary, n_tokens long"
@@ -22,29 +23,11 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-def load_tokenizer(path: str):
-    """A function from a list of texts to a list of token counts, by the library of the file's suffix."""
-    if path.endswith(".model"):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    model.no_truncation()
-    model.no_padding()
-    return lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
-
-
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = None
         for b in batches:
-            count = count or load_tokenizer(path)
+            count = count or counter(path)
             texts, out, held, size = b.column(1), [], [], 0
             for t in texts:
                 held.append(t.as_py())
