@@ -24,7 +24,8 @@ LANDMARKS, NEGATIVES, COST, ROUNDS, SEED = 160, 8000, 10.0, 3, 11
 SKETCH, COPY, ALIKE = 12, 4, 0.5
 #: A unit counts as an insult at first if this many sampled toxic documents hold it and next to no clean ones.
 LEAST_SEEN = 8
-MEMO_UNITS = 1_000_000
+#: Units of a generation whose margins a task remembers (it keeps two).
+MEMO_UNITS = 150_000
 _SIZE = 32
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -257,21 +258,26 @@ class Scorer:
     """Scores of whole texts; a worker remembers the margins of the units it has met."""
 
     def __init__(self, model: Model | None):
-        self.model, self.memo = model, {}
+        self.model, self.memo, self.before = model, {}, {}
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         if self.model is None:
             return np.zeros(len(texts))
         bags = [units(t or "") for t in texts]
-        new = [u for u in set().union(*bags) if u not in self.memo]
-        new.sort(key=len)
+        new = []
+        for u in set().union(*bags):
+            if u not in self.memo:
+                if u in self.before:
+                    self.memo[u] = self.before[u]
+                else:
+                    new.append(u)
         for i in range(0, len(new), 5000):
             part = new[i : i + 5000]
             self.memo.update(zip(part, self.model.margins(part).tolist(), strict=True))
         get = self.memo.__getitem__
         m = np.array([max(map(get, b), default=_NONE) for b in bags])
         if len(self.memo) > MEMO_UNITS:
-            self.memo = {}
+            self.before, self.memo = self.memo, {}
         return 1 / (1 + np.exp(-np.clip(self.model.slope * m + self.model.offset, -30, 30)))
 
 
@@ -283,7 +289,7 @@ def _score(model: Model | None, text_at: int):
             for t in b.column(text_at):
                 held.append(t.as_py())
                 size += len(held[-1] or "")
-                if size > 4_000_000:
+                if size > 1_000_000:
                     out.append(score(held))
                     held, size = [], 0
             out.append(score(held))
