@@ -53,7 +53,7 @@ def flush(store: Store, m: Manifest) -> Manifest:
     if not open_:
         return m
     fresh = store._read([s.path for s in open_]).where(F.col("seq") > m.flushed_seq)
-    table = store.write_table(latest(fresh), 0, m.next_table, m.config)
+    table = store.write_table(latest(fresh), 0, m.next_table, m.config, sum(s.size for s in open_))
     upto = max(s.max_seq for s in open_)
     return store.commit(m, tables=m.tables + ((table,) if table else ()), next_table=m.next_table + 1, flushed_seq=upto)
 
@@ -137,7 +137,7 @@ def compact(store: Store, m: Manifest, task: Task, now: float | None = None, kee
         gone = (F.col("op") == DELETE) & F.col("held").isNull()
         marked = merged.join(young.withColumn("held", F.lit(True)), "key", "left")
         merged = marked.where(~gone).drop("held")
-    table = store.write_table(merged, task.target, m.next_table, m.config)
+    table = store.write_table(merged, task.target, m.next_table, m.config, sum(t.size for t in task.inputs))
     tables = tuple(t for t in m.tables if t.path not in paths) + ((table,) if table else ())
     return store.commit(m, tables=tables, next_table=m.next_table + 1, obsolete=m.obsolete + tuple(sorted(paths)), deletions=held)
 

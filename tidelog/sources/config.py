@@ -25,6 +25,7 @@ class Config:
     wal_max_segments: int = 0
     wal_max_age_s: int = 0
     table_files: int = 8
+    file_bytes: int = 256 * 1024 * 1024
     bloom_rate: float = 0.01
     commit_retries: int = 3
 
@@ -32,7 +33,7 @@ class Config:
         wrong = []
         if self.sync_mode not in SYNC_MODES:
             wrong.append(f"sync_mode is one of {SYNC_MODES}")
-        for name in ("sync_bytes", "memtable_bytes", "memtable_age_s", "max_memtables", "levels", "table_files"):
+        for name in ("sync_bytes", "memtable_bytes", "memtable_age_s", "max_memtables", "levels", "table_files", "file_bytes"):
             if getattr(self, name) <= 0:
                 wrong.append(f"{name} is positive")
         if self.compaction_ratio <= 1:

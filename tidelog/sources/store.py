@@ -173,11 +173,14 @@ class Store:
         offset = F.broadcast(self.spark.createDataFrame(offsets, "part long, begin long"))
         return self.write_numbered(placed.withColumn("part", part).join(offset, "part").withColumn("seq", F.col("begin") + nth))
 
-    def write_table(self, rows: DataFrame, level: int, sequence: int, config: Config, files: int | None = None) -> Table | None:
-        """Unique keys as sorted Parquet with a bloom filter on the key; None for no rows."""
-        stamp = time.time_ns()
+    def write_table(self, rows: DataFrame, level: int, sequence: int, config: Config, size: int = 0) -> Table | None:
+        """Unique keys as sorted Parquet with a bloom filter on the key; None for no rows.
+
+        ``size``, the bytes that went in, sets the number of key ranges and so of files.
+        """
+        stamp, files = time.time_ns(), max(config.table_files, -(-size // config.file_bytes))
         path = f"tables/{table_file(level, sequence, stamp)}"
-        dealt = rows.select("seq", "op", "key", "value").repartitionByRange(files or config.table_files, "key").sortWithinPartitions("key")
+        dealt = rows.select("seq", "op", "key", "value").repartitionByRange(files, "key").sortWithinPartitions("key")
         dealt.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(config.bloom_rate)).parquet(self.files.url(path))
         first, last, n = self._read([path]).agg(F.min("key"), F.max("key"), F.count("*")).first()
         if not n:
