@@ -61,6 +61,7 @@ def test_redaction(spark):
 def test_cases(edge_docs, no_docs):
     rows = find_secrets(edge_docs).select(F.col("doc.doc_id").alias("i"), F.col("doc.text").alias("t"), "spans").collect()
     assert len(rows) == edge_docs.count() and sorted((r.i or -1, r.t or "") for r in rows) == sorted((r.doc_id or -1, r.text or "") for r in edge_docs.collect())
+    assert find_secrets(edge_docs, carry=["rid", "doc_id"]).select("doc.*").columns == ["rid", "doc_id"]
     assert find_secrets(no_docs).count() == 0 and redact_secrets(no_docs).columns == no_docs.columns
     assert redact_secrets(edge_docs).count() == edge_docs.count()
 

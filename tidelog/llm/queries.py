@@ -68,7 +68,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_secrets(_table(spark, sf_dir, "documents"), carry=["doc_id"])
     base = F.filter("spans", lambda s: s.nr <= len(BASE))
 
     def count(kind: str):

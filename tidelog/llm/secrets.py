@@ -40,9 +40,9 @@ def _matches(text: Column, kind: str, doc: str) -> Column:
     return F.when(text.rlike(PATTERNS[kind]), part).otherwise(F.array().cast(f"array<{_PART.format(doc=doc)}>"))
 
 
-def _placed(docs: DataFrame, text_col: str) -> DataFrame:
+def _placed(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
     """One row for each document (``doc`` set) and each match, with start and end in code points."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in carry])
     doc = docs.select(whole.alias("d")).schema["d"].dataType.simpleString()
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     first = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(-1).alias("i"), F.lit(0).alias("gap"), F.lit(None).cast("string").alias("found"), whole.alias("doc"))
@@ -83,8 +83,8 @@ def _linked(rows: DataFrame, scope: int) -> DataFrame:
     return rows.where(kind.isNull() | base | (apart & weak)).select("rid", "kind", "nr", "start", "end", "doc")
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """The columns of ``docs`` as a struct ``doc`` and ``spans``, one row per row.
+def find_secrets(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all by default) as a struct ``doc``, and ``spans``: one row per row.
 
     ``spans`` is an array of (start, nr, kind, end) in code points by start, then kind. Base kinds are
     reported wherever they stand. Weak ones do not overlap a base one and need their complement within
@@ -92,7 +92,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) ->
     text is empty; null and repeated ids are rows of their own; an empty table gives no rows; only
     ``text_col`` is read, further columns are carried whatever their names.
     """
-    rows = _linked(_placed(docs, text_col), scope)
+    rows = _linked(_placed(docs, text_col, carry or docs.columns), scope)
     span = F.when(F.col("kind").isNotNull(), F.struct("start", "nr", "kind", "end"))
     return rows.groupBy("rid").agg(F.max_by("doc", F.col("nr").isNull()).alias("doc"), F.sort_array(F.collect_list(span)).alias("spans"))
 
