@@ -80,3 +80,15 @@ def test_cases(edge_docs, no_docs):
     assert sorted((r.doc_id or -1) for r in rows) == [-1, 6, 6] and {r.kept_doc_id for r in rows} == {5}
     assert remove_repeats(edge_docs).count() == edge_docs.count()
     assert remove_repeats(no_docs).columns == [*no_docs.columns, "removed"]
+
+
+def test_whole_lines_go_at_any_length(spark):
+    rows = [
+        (1, "A note.\nTwo parts. In a line.\nNine words are in this line, and no more.\nShort."), (2, "First\n  a  NOTE.\nLast"), (3, "On and two parts. In a line.\nTwo parts.  In a line.\nOn."),
+        (4, "New text. A note. More.\nShort.\nnine words are in this line, and no more."), (5, "Twice.\nTwice."), (6, "No end\n\nNo end\n"), (7, "Odd. A note"),
+    ]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    text = dict(rows)
+    assert sorted((r.doc_id, text[r.doc_id][r.start : r.end], r.n_units, r.n_words, r.kept_doc_id) for r in got) == [
+        (2, "a  NOTE.", 1, 2, 1), (3, "Two parts.  In a line.", 2, 5, 1), (4, "Short.\nnine words are in this line, and no more.", 2, 10, 1), (5, "Twice.", 1, 1, 5), (6, "No end", 1, 2, 6),
+    ]

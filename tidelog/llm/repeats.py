@@ -9,17 +9,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.session import keep
 
-#: Words that repeated units in a row hold together before they are removed.
+#: Words that repeated sentences in a row hold together before they are removed; whole lines go at any length.
 LEAST_WORDS = 20
 #: Units handed on at once.
 STEP = 100_000
 _UNIT = re.compile(r"[.!?]+(?=\s|\Z)|\S[^\n]*?(?:[.!?]+(?=\s|\Z)|(?=\n)|\Z)")
-_PLACE = "rid long, doc_id {kind}, pos int, start int, end int, words int, h1 long, h2 long"
+#: ``at`` is the place of the first word among the text's; ``lines`` is 0 for a part of a line, 1 for a unit that is a whole
+#: line, and the number of units for a line of several, which is a row besides those of its units.
+_PLACE = "rid long, doc_id {kind}, at int, start int, end int, words int, lines int, h1 long, h2 long"
+_SPAN = "rid long, doc_id {kind}, start long, end long, n_units long, n_words long, kept_doc_id {kind}"
 
 
 def units(text: str) -> Iterator[tuple[int, int, str]]:
@@ -28,8 +30,28 @@ def units(text: str) -> Iterator[tuple[int, int, str]]:
         yield m.start(), m.end(), " ".join(m.group().lower().split())
 
 
+def _places(text: str) -> Iterator[tuple[int, int, int, int, int, str]]:
+    """(at, start, end, words, lines, normalised text) of each unit, and of each line of several units."""
+    at, line = 0, []
+
+    def ended() -> Iterator[tuple[int, int, int, int, int, str]]:
+        for place in line:
+            yield (*place[:4], int(len(line) == 1), place[5])
+        if len(line) > 1:
+            yield (line[0][0], line[0][1], line[-1][2], sum(x[3] for x in line), len(line), " ".join(x[5] for x in line))
+
+    for start, end, unit in units(text):
+        if line and text.find("\n", line[-1][2], start) >= 0:
+            yield from ended()
+            line = []
+        words = unit.count(" ") + 1
+        line.append((at, start, end, words, 0, unit))
+        at += words
+    yield from ended()
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["rid", "doc_id", "pos", "start", "end", "words", "h1", "h2"]
+    names = ["rid", "doc_id", "at", "start", "end", "words", "lines", "h1", "h2"]
 
     def made(b: pa.RecordBatch, of: list[int], rows: list[tuple]) -> pa.RecordBatch:
         at = pa.array(of, pa.int64())
@@ -40,9 +62,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         of, rows = [], []
         for i, text in enumerate(b.column(2)):
-            for pos, (start, end, unit) in enumerate(units(text.as_py() or "")):
+            for *place, unit in _places(text.as_py() or ""):
                 of.append(i)
-                rows.append((pos, start, end, unit.count(" ") + 1, xxhash.xxh3_128_digest(unit.encode("utf-8", "surrogatepass"))))
+                rows.append((*place, xxhash.xxh3_128_digest(unit.encode("utf-8", "surrogatepass"))))
                 if len(rows) >= STEP:
                     yield made(b, of, rows)
                     of, rows = [], []
@@ -50,33 +72,80 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield made(b, of, rows)
 
 
-def _spans(rows: DataFrame, least_words: int) -> DataFrame:
+def _solved(rows: pa.Table, least_words: int, whole_lines: bool) -> pa.RecordBatch:
+    """The spans of whole texts, from their repeated places sorted by (rid, at, lines descending)."""
+    rid, at, start, end, words, lines = (rows[c].to_numpy() for c in ("rid", "at", "start", "end", "words", "lines"))
+    # places of words over all texts: the text's number above, the word's below
+    number = np.cumsum(np.r_[0, rid[1:] != rid[:-1]])
+    low = (number.astype(np.int64) << 32) + at
+    high = low + words
+    unit = np.flatnonzero(lines < 2)
+
+    def begins(of: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.r_[True, low[of[1:]] != high[of[:-1]]]) if len(of) else of
+
+    first = begins(unit)
+    if len(unit):
+        size = np.diff(np.r_[first, len(unit)])
+        stays = np.repeat(np.add.reduceat(words[unit], first) < least_words, size)
+        if whole_lines:
+            # the units of a repeated line follow its row, and all are repeats
+            long_ = np.flatnonzero(lines >= 2)
+            begun = np.searchsorted(unit, long_)
+            inside = np.zeros(len(unit) + 1, np.int64)
+            np.add.at(inside, begun, 1)
+            np.add.at(inside, begun + lines[long_], -1)
+            stays &= (lines[unit] == 0) & (np.cumsum(inside)[:-1] == 0)
+        unit = unit[~stays]
+        first = begins(unit)
+    last = np.r_[first[1:], len(unit)] - 1 if len(first) else first
+    a, z = unit[first], unit[last]
+    of = pa.array(a)
+    ints = [start[a], end[z], last - first + 1, high[z] - low[a]]
+    columns = [rows["rid"].take(of), rows["doc_id"].take(of), *(pa.array(x.astype(np.int64)) for x in ints), rows["kept"].take(of)]
+    return pa.table([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=["rid", "doc_id", "start", "end", "n_units", "n_words", "kept_doc_id"])
+
+
+def _runs(least_words: int, whole_lines: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rid = b.column(0).to_numpy()
+            if not held or held[-1].column(0)[-1].as_py() != rid[-1]:
+                cut = int(np.searchsorted(rid, rid[-1]))
+                held.append(b.slice(0, cut))
+                yield from _solved(pa.Table.from_batches(held), least_words, whole_lines).to_batches()
+                held = [b.slice(cut)]
+            else:
+                held.append(b)
+        if held:
+            yield from _solved(pa.Table.from_batches(held), least_words, whole_lines).to_batches()
+
+    return run
+
+
+def _spans(rows: DataFrame, least_words: int | None) -> DataFrame:
     """(rid, doc_id, start, end, n_units, n_words, kept_doc_id) of the runs to remove, from rows of (rid, doc_id, text)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = keep(rows.mapInArrow(_units, _PLACE.format(kind=kind)), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "pos")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "at")
     first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    again = found.join(keep(first, "repeated-units"), ["h1", "h2"]).where((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos")))
-    again = again.select("rid", "doc_id", "pos", "start", "end", "words", F.col("first.doc_id").alias("kept"))
-    run = F.col("pos") - F.row_number().over(W.partitionBy("rid").orderBy("pos"))
-    runs = again.withColumn("run", run).groupBy("rid", "run").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.min("start").cast("long").alias("start"),
-        F.max("end").cast("long").alias("end"),
-        F.count("*").alias("n_units"),
-        F.sum("words").alias("n_words"),
-        F.min_by("kept", "pos").alias("kept_doc_id"),
-    )
-    return runs.where(F.col("n_words") >= least_words).drop("run")
-
-
-def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    again = found.join(keep(first, "repeated-units"), ["h1", "h2"]).where((F.col("rid") != F.col("first.rid")) | (F.col("at") != F.col("first.at")))
+    again = again.select("rid", "doc_id", "at", "start", "end", "words", "lines", F.col("first.doc_id").alias("kept"))
+    again = again.repartition("rid").sortWithinPartitions("rid", "at", F.desc("lines"))
+    solve = _runs(LEAST_WORDS if least_words is None else least_words, least_words is None)
+    return again.mapInArrow(solve, _SPAN.format(kind=kind))
+
+
+def repeated_passages(docs: DataFrame, least_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, start, end, n_units, n_words, kept_doc_id)``: the stretches of the texts to remove as repeats.
 
     A unit is a line, or a sentence of it: passages are shared inside lines too. Digests of normalised units are grouped
-    over all documents; the occurrence that is first by (doc_id, row, place) stays. Further ones are
-    removed where those in a row hold ``least_words`` together, so that short phrases which recur by chance
-    stay. Offsets are code points of the original text; ``kept_doc_id`` has the first unit's first occurrence.
+    over all documents; the occurrence that is first by (doc_id, row, place) stays. Of further ones a whole line is
+    removed whatever its length; sentences within lines where repeated units in a row hold LEAST_WORDS together, so
+    that short sentences which recur by chance stay. ``least_words`` asks that of whole lines too. Offsets are code points of the original text; ``kept_doc_id`` has the first unit's first occurrence.
     A hot unit is reduced by partial aggregation, and in the join with the (written) table of repeated digests
     its partition can be split. Cases: null and empty texts have no units; null doc_ids rank last; repeated rows
     are rows of their own, the later ones repeats; repeats within a text count; an empty table gives no rows;
@@ -86,7 +155,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: s
     return _spans(rows, least_words).drop("rid")
 
 
-def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def remove_repeats(docs: DataFrame, least_words: int | None = None, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with those stretches cut out, ``chars_col`` set anew there, and ``removed``, their original offsets.
 
     Rows are written once with a number each, by which spans find their row again.
