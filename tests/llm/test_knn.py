@@ -55,3 +55,13 @@ def test_rings_leave_rows_out(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = ask(df, k=5, pivots=8, queries=5)
     assert got == plain([(r[0], ints(r[1])) for r in rows], 5)
+
+
+def test_own_rows_do_not_fill_the_bound(spark):
+    """A query id of many equal rows, alone in its cell, still gets its k neighbours."""
+    rng = random.Random(5)
+    others = [[9, 1, 0], [0, 8, 3], [-7, 2, 5], [1, -6, 4]]
+    rows = [(20, [90, 90, 90])] * 25 + [(i, rng.choice(others)) for i in range(100) if i % 20]
+    data = spark.createDataFrame(rows, "vec_id long, vec array<long>")
+    got = knn_join(data, F.col("vec_id") % 20 == 0).collect()
+    assert sorted(map(tuple, got)) == plain(rows, 20)

@@ -81,18 +81,22 @@ def _cells(space: _Space, query: bool):
     return run
 
 
-def _bounds(space: _Space, reach: dict[int, float], least: dict[int, list[float]], k: int) -> dict[int, np.ndarray]:
+def _bounds(space: _Space, reach: dict[int, float], least: list[tuple[int, int, float]], k: int) -> dict[int, np.ndarray]:
     """For each query cell, (low, high) distances from its pivot that a row of each data cell needs to matter.
 
-    ``reach`` is the largest distance of a cell's queries from their pivot. The k-th smallest of (distance of a
-    row to its pivot + between the pivots + reach) bounds the k-th neighbour of every query of the cell; by
-    the triangle inequality only rows in the ring given here can be nearer.
+    ``reach`` is the largest distance of a cell's queries from their pivot, ``least`` has (cell, vec_id, distance to
+    the pivot) of near rows. Of (that distance + between the pivots + reach) the smallest counts of each vec_id, so that
+    one entry at most is a query's own, however many rows it has; the smallest but k of them then bounds the k-th neighbour
+    of every query of the cell; by the triangle inequality only rows in the ring given here can be nearer.
     """
     between = np.sqrt(np.maximum(((space.pivots[:, None] - space.pivots[None]) ** 2).sum(2), 0))
     slack, out = 1e-6 * (1 + np.sqrt(space.square)), {}
+    cell, ids, dist = (np.array(x) for x in zip(*least, strict=True))
     for i, far in reach.items():
-        upper = np.sort(np.concatenate([np.array(d) + between[i, j] + far for j, d in least.items()]))
-        width = far + (upper[k - 1] if len(upper) >= k else np.inf) + slack
+        upper = dist + between[i, cell] + far
+        order = np.argsort(upper)
+        upper = np.sort(upper[order[np.unique(ids[order], return_index=True)[1]]])
+        width = far + (upper[k] if len(upper) > k else np.inf) + slack
         out[i] = np.stack([between[i] - width, between[i] + width])
     return out
 
@@ -164,7 +168,7 @@ def knn_join(data: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVOT
 
     ``data`` has ``vec_id long`` and ``vec array<long>``; queries are its rows where ``is_query`` holds, and rows
     of the query's own id are no candidates. Queries and data are assigned to the nearest of a bounded number of
-    pivots; distance bounds come from each cell's count of queries, their reach and its k+1 least distances; a row
+    pivots; distance bounds come from each cell's count of queries, their reach and its k+1 nearest vec_ids; a row
     goes only to the groups of queries that it may matter to. Groups are cut into chunks of queries and hashed
     slices of rows, so a cell of a third of all rows is many small tasks, and each gives k rows a query to the
     last ranking. Cases: rows with null id or vector take no part; of equal scores the smaller vec_id is first;
@@ -190,13 +194,12 @@ def knn_join(data: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVOT
     points = keep(packed(rows).mapInArrow(_cells(space, False), celled), "cells")
     ask = rows.where("asks").groupBy("vec_id").agg(F.max("vec").alias("vec"))
     ask = keep(packed(ask).mapInArrow(_cells(space, True), celled), "query-cells")
-    nearest = points.select("cell", "dist", F.row_number().over(W.partitionBy("cell").orderBy("dist")).alias("r")).where(F.col("r") <= k + 1)
-    least: dict[int, list[float]] = {}
-    for r in nearest.select("cell", "dist").collect():
-        least.setdefault(r.cell, []).append(r.dist)
+    nearest = points.groupBy("cell", "vec_id").agg(F.min("dist").alias("dist"))
+    nearest = nearest.withColumn("r", F.row_number().over(W.partitionBy("cell").orderBy("dist", "vec_id"))).where(F.col("r") <= k + 1)
+    least = [tuple(r) for r in nearest.select("cell", "vec_id", "dist").collect()]
     found = ask.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("far")).collect()
     sizes = {r.cell: r.n for r in found}
-    bounds = _bounds(space, {r.cell: r.far for r in found}, least, k + 1)
+    bounds = _bounds(space, {r.cell: r.far for r in found}, least, k)
     groups = _groups(space, sizes, queries)
     rings = np.stack([np.stack([np.min([bounds[i][0] for i in g], axis=0), np.max([bounds[i][1] for i in g], axis=0)], 1) for g in groups])
     slices = max(1, -(-n // slice_rows))
