@@ -91,3 +91,11 @@ def test_cases(edge_docs, no_docs):
     assert by[1][0].fp == by[2][0].fp == by[3][0].fp == 0 and by[3][0].component_id == 1
     assert {r.component_id for r in by[6]} == {5} and by[5][0].component_id == 5
     assert {r.component_id for r in by[None]} == {1, 5}
+
+
+def test_rows_without_id_link(spark, monkeypatch):
+    """A fingerprint that only rows with null doc_id hold joins its component and connects others."""
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs)
+    rows = [(7, 0), (None, 0b111), (5, 0b111111), (9, 0xFF << 40), (None, 0xFF << 40 | 1), (None, -1), (12, 0xFFFF << 20), (12, 0xFFF << 50)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
+    assert {(r.doc_id, r.fp): r.component_id for r in got} == dict(zip(rows, [5, 5, 5, 9, 9, None, 12, 12], strict=True))

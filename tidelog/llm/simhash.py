@@ -165,17 +165,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Fingerprints at three or fewer differing bits link; ``component_id`` is the smallest doc_id
     reachable over links, the row's own included. Equal fingerprints are one entry of the index, so
     a large group of exact copies costs no more than its rows. Cases: a null or wordless text has
-    fingerprint zero, linked like any other; rows that share a doc_id are one node; a row with null
-    doc_id gets its fingerprint and the component of the rows it reaches (null if they have none);
+    fingerprint zero, linked like any other; rows that share a doc_id are linked; a row with null
+    doc_id links like any other and gets the component of the rows it reaches (null if none has an id);
     an empty table gives no rows; further columns are ignored.
     """
     prints = keep(fingerprints(docs, id_col, text_col), "fingerprints")
-    unique = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "unique-prints")
-    links = near_links(unique.where("node is not null"), list_rows)
+    # a fingerprint is its own node
+    unique = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")), "unique-prints")
+    links = near_links(unique, list_rows)
     of_id = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-    several = keep(of_id.where("lo <> hi").select("doc_id"), "ids-of-several-texts")
+    several = keep(of_id.where("lo <> hi").select("doc_id", "lo"), "ids-of-several-texts")
     if not several.isEmpty():
-        links = links.union(prints.join(several, "doc_id", "left_semi").join(unique, "fp").select("doc_id", "node"))
+        links = links.union(prints.join(several, "doc_id").select("fp", "lo"))
     roots = connected_components(links)
-    best = keep(unique.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "roots")
+    rooted = keep(unique.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    best = rooted.join(keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "roots"), "root").select("fp", "component_id")
     return prints.join(best, "fp", "left").select("doc_id", "fp", "component_id")
