@@ -1,3 +1,4 @@
+import random
 import re
 
 from samples import prose
@@ -92,3 +93,21 @@ def test_whole_lines_go_at_any_length(spark):
     assert sorted((r.doc_id, text[r.doc_id][r.start : r.end], r.n_units, r.n_words, r.kept_doc_id) for r in got) == [
         (2, "a  NOTE.", 1, 2, 1), (3, "Two parts.  In a line.", 2, 5, 1), (4, "Short.\nnine words are in this line, and no more.", 2, 10, 1), (5, "Twice.", 1, 1, 5), (6, "No end", 1, 2, 6),
     ]
+
+
+def test_passages_inside_sentences(spark):
+    """Every 50 words that repeat hold a span, wherever they begin and end."""
+    rng, vocabulary = random.Random(8), [f"w{i}" for i in range(3000)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    shared = [words(50 + 3 * i) for i in range(12)]
+    texts = [" ".join([*words(20 + i), *p, *words(30)]) for i, p in enumerate(shared)]
+    again = [("  ".join(words(7 + i)) + "\n", f"{' '.join(p[:20])} \n{' '.join(p[20:])}".upper(), "\té " + " ".join(words(9))) for i, p in enumerate(shared)]
+    rows = [*enumerate(texts), *((100 + i, "".join(x)) for i, x in enumerate(again)), (200, " ".join(words(400))), (201, "tie " * 49)]
+    got = {}
+    for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert sorted(got) == list(range(100, 112))
+    for i, (head, passage, _) in enumerate(again):
+        (r,) = got[100 + i]
+        inside = rows[12 + i][1][r.start : r.end]
+        assert inside in passage and len(inside.split()) == r.n_words >= 26 and r.kept_doc_id == i and r.start >= len(head)

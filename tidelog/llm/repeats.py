@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +17,17 @@ from tidelog.session import keep
 
 #: Words that repeated sentences in a row hold together before they are removed; whole lines go at any length.
 LEAST_WORDS = 20
+#: Words of a gram, and grams in a row of which one is taken: every 50 words hold a taken gram.
+GRAM, WINDOW = 26, 25
+#: Words of a repeated gram that runs of units must leave over for it to be removed: less is the ragged end of a run.
+RAGGED = 8
+#: Hashes of words remembered by a task.
+MEMORY = 200_000
 #: Units handed on at once.
 STEP = 100_000
 _UNIT = re.compile(r"[.!?]+(?=\s|\Z)|\S[^\n]*?(?:[.!?]+(?=\s|\Z)|(?=\n)|\Z)")
 #: ``at`` is the place of the first word among the text's; ``lines`` is 0 for a part of a line, 1 for a unit that is a whole
-#: line, and the number of units for a line of several, which is a row besides those of its units.
+#: line, and the number of units for a line of several, which is a row besides those of its units; -1 for a gram.
 _PLACE = "rid long, doc_id {kind}, at int, start int, end int, words int, lines int, h1 long, h2 long"
 _SPAN = "rid long, doc_id {kind}, start long, end long, n_units long, n_words long, kept_doc_id {kind}"
 
@@ -50,7 +58,54 @@ def _places(text: str) -> Iterator[tuple[int, int, int, int, int, str]]:
     yield from ended()
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_SPACE = np.zeros(0x3002, bool)
+_SPACE[[c for c in range(0x3001) if chr(c).isspace()]] = True
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+def taken(h: np.ndarray) -> np.ndarray:
+    """Places of the grams of GRAM words that are least of WINDOW in a row, from the hashes of the words: two texts that
+    share GRAM + WINDOW - 1 words take the same gram there."""
+    n = len(h) - GRAM + 1
+    if n < WINDOW:
+        return np.zeros(0, np.int64)
+    x = np.zeros(n, np.uint64)
+    for j in range(GRAM):
+        x = x * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    least = x[: n - WINDOW + 1].copy()
+    for j in range(1, WINDOW):
+        np.minimum(least, x[j : j + len(least)], out=least)
+    # a gram is least of some window if the greatest of the leasts around it is its own
+    most = np.zeros(n, np.uint64)
+    for j in range(WINDOW):
+        np.maximum(most[j : j + len(least)], least, out=most[j : j + len(least)])
+    return np.flatnonzero(most == x)
+
+
+def _grams(text: str, hashes: _Hashes) -> Iterator[tuple[int, int, int, int, int, str]]:
+    """Taken grams as places; they go over the ends of lines."""
+    words = text.lower().split()
+    if len(words) < GRAM + WINDOW - 1:
+        return
+    at = taken(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    edge = np.diff(np.r_[True, _SPACE[np.minimum(points, 0x3001)], True].astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    for i, start, end in zip(at.tolist(), starts[at].tolist(), ends[at + GRAM - 1].tolist(), strict=True):
+        # line breaks set them apart from units
+        yield i, start, end, GRAM, -1, "\n".join(words[i : i + GRAM])
+
+
+def _units(batches: Iterator[pa.RecordBatch], grams: bool = True) -> Iterator[pa.RecordBatch]:
     names = ["rid", "doc_id", "at", "start", "end", "words", "lines", "h1", "h2"]
 
     def made(b: pa.RecordBatch, of: list[int], rows: list[tuple]) -> pa.RecordBatch:
@@ -59,10 +114,12 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(c, pa.int32()) for c in ints), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=names)
 
+    hashes = _Hashes()
     for b in batches:
         of, rows = [], []
         for i, text in enumerate(b.column(2)):
-            for *place, unit in _places(text.as_py() or ""):
+            text = text.as_py() or ""
+            for *place, unit in chain(_places(text), _grams(text, hashes) if grams else ()):
                 of.append(i)
                 rows.append((*place, xxhash.xxh3_128_digest(unit.encode("utf-8", "surrogatepass"))))
                 if len(rows) >= STEP:
@@ -79,7 +136,7 @@ def _solved(rows: pa.Table, least_words: int, whole_lines: bool) -> pa.RecordBat
     number = np.cumsum(np.r_[0, rid[1:] != rid[:-1]])
     low = (number.astype(np.int64) << 32) + at
     high = low + words
-    unit = np.flatnonzero(lines < 2)
+    unit = np.flatnonzero((lines == 0) | (lines == 1))
 
     def begins(of: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.r_[True, low[of[1:]] != high[of[:-1]]]) if len(of) else of
@@ -99,9 +156,32 @@ def _solved(rows: pa.Table, least_words: int, whole_lines: bool) -> pa.RecordBat
         unit = unit[~stays]
         first = begins(unit)
     last = np.r_[first[1:], len(unit)] - 1 if len(first) else first
-    a, z = unit[first], unit[last]
-    of = pa.array(a)
-    ints = [start[a], end[z], last - first + 1, high[z] - low[a]]
+    a, z, count = unit[first], unit[last], last - first + 1
+    gram = np.flatnonzero(lines < 0)
+    if len(gram):
+        if len(a):
+            total = np.r_[0, np.cumsum(high[z] - low[a])]
+
+            def covered(x: np.ndarray) -> np.ndarray:
+                k = np.searchsorted(low[a], x)
+                return total[k] - np.where(k > 0, np.maximum(high[z][k - 1] - x, 0), 0)
+
+            gram = gram[GRAM - covered(high[gram]) + covered(low[gram]) >= RAGGED]
+        a, z, count = np.r_[a, gram], np.r_[z, gram], np.r_[count, np.zeros(len(gram), np.int64)]
+        order = np.argsort(low[a], kind="stable")
+        a, z, count = a[order], z[order], count[order]
+    if len(a):
+        # what meets is one span
+        furthest = np.maximum.accumulate(high[z])
+        span = np.flatnonzero(np.r_[True, low[a[1:]] > furthest[:-1]])
+        ends = np.r_[span[1:], len(a)] - 1
+        tail = np.maximum.reduceat(end[z].astype(np.int64) + (number[z].astype(np.int64) << 32), span) & 0xFFFFFFFF
+        head, held = a[span], furthest[ends] - low[a[span]]
+        count = np.add.reduceat(count, span)
+    else:
+        head, tail, count, held = a, a, a, a
+    of = pa.array(head)
+    ints = [start[head], tail, count, held]
     columns = [rows["rid"].take(of), rows["doc_id"].take(of), *(pa.array(x.astype(np.int64)) for x in ints), rows["kept"].take(of)]
     return pa.table([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=["rid", "doc_id", "start", "end", "n_units", "n_words", "kept_doc_id"])
 
@@ -129,10 +209,13 @@ def _runs(least_words: int, whole_lines: bool):
 def _spans(rows: DataFrame, least_words: int | None) -> DataFrame:
     """(rid, doc_id, start, end, n_units, n_words, kept_doc_id) of the runs to remove, from rows of (rid, doc_id, text)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = keep(rows.mapInArrow(_units, _PLACE.format(kind=kind)), "units")
+    found = keep(rows.mapInArrow(partial(_units, grams=least_words is None), _PLACE.format(kind=kind)), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "at")
     first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    again = found.join(keep(first, "repeated-units"), ["h1", "h2"]).where((F.col("rid") != F.col("first.rid")) | (F.col("at") != F.col("first.at")))
+    again = found.join(keep(first, "repeated-units"), ["h1", "h2"])
+    # a gram that overlaps its own first occurrence is no repeat
+    apart = F.when(F.col("lines") < 0, F.col("words")).otherwise(1)
+    again = again.where((F.col("rid") != F.col("first.rid")) | (F.col("at") - F.col("first.at") >= apart))
     again = again.select("rid", "doc_id", "at", "start", "end", "words", "lines", F.col("first.doc_id").alias("kept"))
     again = again.repartition("rid").sortWithinPartitions("rid", "at", F.desc("lines"))
     solve = _runs(LEAST_WORDS if least_words is None else least_words, least_words is None)
@@ -145,7 +228,10 @@ def repeated_passages(docs: DataFrame, least_words: int | None = None, id_col: s
     A unit is a line, or a sentence of it: passages are shared inside lines too. Digests of normalised units are grouped
     over all documents; the occurrence that is first by (doc_id, row, place) stays. Of further ones a whole line is
     removed whatever its length; sentences within lines where repeated units in a row hold LEAST_WORDS together, so
-    that short sentences which recur by chance stay. ``least_words`` asks that of whole lines too. Offsets are code points of the original text; ``kept_doc_id`` has the first unit's first occurrence.
+    that short sentences which recur by chance stay. Passages that begin and end inside sentences are found by grams of
+    GRAM words, least of WINDOW in a row: a repeat of 50 words always holds one, and it goes unless the runs of units leave
+    under RAGGED words of it. ``least_words`` asks for runs of units of that length alone. Offsets are code points of the original text; ``kept_doc_id`` has the first occurrence of the first
+    unit or gram; ``n_units`` counts whole units.
     A hot unit is reduced by partial aggregation, and in the join with the (written) table of repeated digests
     its partition can be split. Cases: null and empty texts have no units; null doc_ids rank last; repeated rows
     are rows of their own, the later ones repeats; repeats within a text count; an empty table gives no rows;
