@@ -313,3 +313,14 @@ def test_service_and_shell(spark, root):
         assert sh.run("BEGIN") == "ok" and sh.run("DELETE user:1") == "ok" and sh.run("GET user:1") == "not found"
         assert sh.run("ROLLBACK") == "ok" and sh.run("GET user:1") == "some value"
         assert "key_count" in sh.run(".stats") and sh.run("NONSENSE").startswith("error")
+
+
+@pytest.mark.parametrize("hours", [24.0, 0.0])
+def test_tombstones_of_a_large_load_outlive_compaction(spark, root, hours):
+    with Engine(spark, root, SMALL.updated(tombstone_retention_h=hours)) as e:
+        key = F.concat(F.lit("k"), F.col("id").cast("string")).cast("binary")
+        assert e.apply_frame(spark.range(10_001).select(F.lit("DELETE").alias("op"), key.alias("key"), F.lit(None).cast("binary").alias("value"))) == 10_001
+        e.flush()
+        e.compact_range()
+        assert e.records().count() == (10_001 if hours else 0)
+        assert e.contains(b"k77") == bool(hours) and (not hours or e.is_deleted(b"k77"))

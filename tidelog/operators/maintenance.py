@@ -130,16 +130,19 @@ def compact(store: Store, m: Manifest, task: Task, now: float | None = None, kee
     below = [t for t in m.tables if t.path not in paths and firsts and t.overlaps(min(firsts), max(lasts))]
     oldest = now - m.config.tombstone_retention_h * 3600
     held = {k: v for k, v in m.deletions.items() if v[1] or v[0] > oldest}
+    bulk_loads = tuple(x for x in m.bulk_loads if x[2] > oldest)
     if keep is not None:
         merged = keep(merged)
     elif not below:
         young = store.spark.createDataFrame([(bytearray.fromhex(k),) for k in held], "key binary")
         gone = (F.col("op") == DELETE) & F.col("held").isNull()
+        for first, last, _ in bulk_loads:
+            gone &= ~F.col("seq").between(first, last)
         marked = merged.join(young.withColumn("held", F.lit(True)), "key", "left")
         merged = marked.where(~gone).drop("held")
     table = store.write_table(merged, task.target, m.next_table, m.config, sum(t.size for t in task.inputs))
     tables = tuple(t for t in m.tables if t.path not in paths) + ((table,) if table else ())
-    return store.commit(m, tables=tables, next_table=m.next_table + 1, obsolete=m.obsolete + tuple(sorted(paths)), deletions=held)
+    return store.commit(m, tables=tables, next_table=m.next_table + 1, obsolete=m.obsolete + tuple(sorted(paths)), deletions=held, bulk_loads=bulk_loads)
 
 
 # log retention

@@ -57,6 +57,8 @@ class Manifest:
     tables: tuple[Table, ...] = ()
     #: Deletions younger than the retention, as key in hex to (time, kept whatever its age).
     deletions: dict[str, tuple[float, bool]] = field(default_factory=dict)
+    #: Bulk loads younger than the retention, as (first number, last number, time): when their tombstones were written.
+    bulk_loads: tuple[tuple[int, int, float], ...] = ()
     obsolete: tuple[str, ...] = ()
     config: Config = field(default_factory=Config)
 
@@ -69,6 +71,7 @@ class Manifest:
         x["segments"] = tuple(Segment(**s) for s in x["segments"])
         x["tables"] = tuple(Table(**t) for t in x["tables"])
         x["deletions"] = {k: tuple(v) for k, v in x["deletions"].items()}
+        x["bulk_loads"] = tuple(tuple(v) for v in x.get("bulk_loads", ()))
         x["obsolete"] = tuple(x["obsolete"])
         x["config"] = Config.loaded(x["config"])
         return cls(**x)
