@@ -1,11 +1,14 @@
 import re
+import time
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from samples import prose
 
 from tidelog.llm import winnow
-from tidelog.llm.winnow import Index, decontaminate, find, find_benchmark
+from tidelog.llm.winnow import Index, decontaminate, find, find_benchmark, items_of
 
 
 def plain_words(t):
@@ -36,9 +39,10 @@ def test_finds_what_brute_force_finds(step, monkeypatch):
     one = prose(1, 30).split()
     texts = [prose(7, 100), " ".join(one), prose(8, 20) + " " + " ".join(one[5:14]).upper() + "," + prose(9, 20), " ".join(one[3:10]), "a short item! HERE solo", "", "é", "x" * 500,
              "the " * 40, " ".join(one[:8]) + ". " + prose(2, 9), "solo" * 3, "short\x00item\x7fhere", prose(2, 9) + "end", "漢字 short item here"]
-    got = find([t.encode() for t in texts], Index(ITEMS))
+    index = Index(ITEMS)
+    got = find([t.encode() for t in texts], index)
     for t, (n, runs, items) in zip(texts, got, strict=True):
-        assert (n, sum(b - a for a, b, _, _ in runs), sorted(items)) == plain(t, ITEMS), t
+        assert (n, sum(b - a for a, b, _, _ in runs), [index.ids[i] for i in items_of(items)]) == plain(t, ITEMS), t
         for a, b, x, y in runs:
             assert plain_words(t.encode()[x:y].decode()) == plain_words(t)[a:b]
 
@@ -47,7 +51,7 @@ def test_cases_and_blocks(spark, edge_docs, no_docs):
     items = spark.createDataFrame([(int(i), t, 1) for i, t in ITEMS] + [(None, "one two", 1), (12, None, 1), (12, "one two", 1), (13, prose(1, 60), 1)], "item_id long, text string, doc_id int")
     usable = [*ITEMS, ("12", "one two"), ("13", prose(1, 60))]
     want = sorted((r.doc_id or -1, *plain(r.text, usable)) for r in edge_docs.collect())
-    for block in (1 << 20, 80):
+    for block in (1 << 20, 300):
         found = find_benchmark(edge_docs, items, block_bytes=block).withColumn("hit", winnow.n_hit())
         assert sorted((r.doc_id or -1, r.n_words, r.hit, list(r["items"])) for r in found.collect()) == want
     assert find_benchmark(no_docs, items).count() == 0
@@ -60,3 +64,53 @@ def test_decontaminate(spark):
     rows = [(1, "clean text é", 12), (2, f"ä before {one}. after", 0), (3, f"{one} {two}", 0), (4, None, None)]
     got = {r.doc_id: (r.text, r.n_chars) for r in decontaminate(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), items).collect()}
     assert got == {1: ("clean text é", 12), 2: ("ä before . after", 16), 4: (None, None)}
+
+
+def test_a_phrase_that_many_items_share():
+    """Work and memory go with the texts, not with the pairs of places: 40,000 items and a text that repeats their opening."""
+    opening = "which of the following statements about the passage"
+    items = [(str(i), f"{opening} w{i} x{i * 7} y{i % 91}") for i in range(40_000)]
+    text = f"{opening} {prose(3, 4)}. " * 14_000
+    assert len(text) > 1_000_000
+    tracemalloc.start()
+    began = time.time()
+    index = Index(items)
+    ((n, runs, found),) = find([text.encode()], index)
+    assert time.time() - began < 20 and tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+    assert n == 12 * 14_000 and len(items_of(found)) == 40_000 and sum(b - a for a, b, *_ in runs) == 8 * 14_000
+    assert items_of(find([f"{opening} w77 x539 y77".encode(), opening[5:].encode()], index)[0][2]).tolist() == list(range(40_000))
+    few, short = items[:60], f"{opening} w5 x35 y5 and {opening} w6"
+    index = Index(few)
+    ((n, runs, found),) = find([short.encode()], index)
+    assert (n, sum(b - a for a, b, *_ in runs), [index.ids[i] for i in items_of(found)]) == plain(short, few)
+
+
+def test_windows_of_one_hash(monkeypatch):
+    """Windows whose hashes collide are told apart by their bytes."""
+    monkeypatch.setattr(winnow, "_mix", lambda h: h & np.uint64(3))
+    texts = [prose(7, 60), prose(1, 30), f"{prose(2, 9)} short item here", "solo"]
+    index = Index(ITEMS)
+    for t, (n, runs, found) in zip(texts, find([t.encode() for t in texts], index), strict=True):
+        assert (n, sum(b - a for a, b, *_ in runs), [index.ids[i] for i in items_of(found)]) == plain(t, ITEMS)
+
+
+def test_many_ids_end_a_batch(spark, monkeypatch):
+    items = spark.createDataFrame([(i, "one phrase that many of these items do share") for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{i} one phrase that many of these items do share") for i in range(50)] + [(99, None)], "doc_id long, text string").coalesce(1)
+    index = Index([(str(r.item_id), r.text) for r in items.collect()])
+    monkeypatch.setattr(winnow, "MOST_IDS", 700)
+    batches = list(winnow._scan(index, 1, True)(iter(docs.select("doc_id", "text").toArrow().to_batches())))
+    assert sum(b.num_rows for b in batches) == 51 and max(len(b.column(3).flatten()) for b in batches) <= 900
+    assert find_benchmark(docs, items).where("size(items) = 300 and n_words = 10").count() == 50
+    assert find_benchmark(docs, items, block_bytes=2000).where("size(items) = 300").count() == 50
+
+
+def test_very_long_texts(spark):
+    item = prose("long", 30)
+    text = f"{prose(4, 150_000)} {item} {prose(5, 150_000)}"
+    items = spark.createDataFrame([(1, item), (2, prose("item", 5000))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text, len(text)), (2, "x" * 2_000_000, 2_000_000), (3, prose("item", 5000) + " tail", 5)], "doc_id long, text string, n_chars long")
+    for options in ({}, {"block_bytes": 4000}):
+        got = {r.doc_id: r for r in decontaminate(docs, items, **options).collect()}
+        assert got[1].text == text.replace(item, "") and got[2].text == "x" * 2_000_000 and (got[3].text, got[3].n_chars) == (" tail", 5)

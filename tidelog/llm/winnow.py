@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ WINDOW, GRAM = 8, 4
 BLOCK_BYTES = 8 << 20
 #: Bytes of document text worked on at once (a longer word or document is taken whole).
 STEP = 1 << 20
+#: Item ids written out in one batch of results, but for a single text's.
+MOST_IDS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
@@ -74,13 +76,13 @@ def _grams(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def _kept(grams: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Positions of the least gram of each window (the leftmost of equals), without repeats."""
+    """For each window the position of its least gram (the leftmost of equals)."""
     best, low = windows.copy(), grams[windows]
     for i in range(1, WINDOW - GRAM + 1):
         now = grams[windows + i]
         less = now < low
         best[less], low[less] = windows[less] + i, now[less]
-    return np.unique(best)
+    return best
 
 
 def _doc_of(start: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
@@ -98,89 +100,133 @@ def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
 
 
+def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each ``lo`` on, ``n`` of them, one after the other."""
+    return np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+class _Text:
+    """Texts laid end to end, and their words."""
+
+    def __init__(self, texts: list[bytes]):
+        raw, self.begin = _laid(texts)
+        self.low = _LOWER[raw]
+        self.start, self.end, self.hash = _words(self.low, self.begin)
+        self.of = _doc_of(self.start, self.begin)
+
+
+def _same(a: _Text, p: np.ndarray, b: _Text, q: np.ndarray, k: int) -> np.ndarray:
+    """Whether the k words from p of one and from q of the other have the same bytes."""
+    ok = np.ones(len(p), bool)
+    for i in range(k):
+        at = np.flatnonzero(ok)
+        x, y = p[at] + i, q[at] + i
+        size = a.end[x] - a.start[x]
+        same = size == b.end[y] - b.start[y]
+        ok[at[~same]] = False
+        at, x, y, size = at[same], x[same], y[same], size[same]
+        upto, lo = np.cumsum(size), 0
+        while lo < len(at):
+            # bounded by bytes; a longer word is compared by itself
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - size[lo] + STEP, "right")))
+            n = size[lo:hi]
+            differ = a.low[_ranges(a.start[x[lo:hi]], n)] != b.low[_ranges(b.start[y[lo:hi]], n)]
+            ok[at[lo:hi]] = np.add.reduceat(differ, np.cumsum(n) - n) == 0
+            lo = hi
+    return ok
+
+
+class _Windows:
+    """The distinct windows of k words of the items: each has one place in their text and a list of items."""
+
+    def __init__(self, text: _Text, k: int, at: np.ndarray, rank: np.ndarray):
+        h = _grams(text.hash, k)[at]
+        order = np.lexsort((at, h))
+        h, at = h[order], at[order]
+        owner, left = np.arange(len(at)), np.arange(len(at))
+        # windows of one hash are one unless their words differ; those that do are told apart in further rounds
+        while len(left):
+            first = np.flatnonzero(np.r_[True, h[left[1:]] != h[left[:-1]]])
+            heads = left[np.repeat(first, np.diff(np.r_[first, len(left)]))]
+            same = _same(text, at[left], text, at[heads], k)
+            owner[left[same]] = heads[same]
+            left = left[~same]
+        heads, number = np.unique(owner, return_inverse=True)
+        self.k, self.hash, self.at = k, h[heads], at[heads]
+        # (window, item) without repeats, in order
+        held = np.unique(number * len(rank) + rank[text.of[at]])
+        self.items, self.first = held % len(rank), np.searchsorted(held // len(rank), np.arange(len(heads) + 1))
+        self.grams = None
+        if k == WINDOW:
+            grams = _grams(text.hash, GRAM)
+            self.grams = np.unique(grams[_kept(grams, self.at)])
+
+    def occurrences(self, text: _Text, index: _Text) -> tuple[np.ndarray, np.ndarray]:
+        """(word, window): the windows that occur in texts, each place with one window at most."""
+        p = _within(text.of, self.k)
+        if self.grams is not None and len(p):
+            # join on the kept grams; a hit extends to the windows that keep that gram
+            grams = _grams(text.hash, GRAM)
+            best = _kept(grams, p)
+            kept = np.unique(best)
+            found = np.zeros(len(grams), bool)
+            found[kept] = _in(grams[kept], self.grams)
+            p = p[found[best]]
+        h = _grams(text.hash, self.k)[p]
+        w = np.searchsorted(self.hash, h)
+        hits_p, hits_w = [], []
+        while len(p):
+            there = w < len(self.hash)
+            there[there] = self.hash[w[there]] == h[there]
+            p, h, w = p[there], h[there], w[there]
+            same = _same(text, p, index, self.at[w], self.k)
+            hits_p.append(p[same])
+            hits_w.append(w[same])
+            # another window of the same hash
+            p, h, w = p[~same], h[~same], w[~same] + 1
+        return np.concatenate([*hits_p, np.zeros(0, np.int64)]), np.concatenate([*hits_w, np.zeros(0, np.int64)])
+
+
+def _in(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(table, x)
+    out = at < len(table)
+    out[out] = table[at[out]] == x[out]
+    return out
+
+
 class Index:
-    """Fingerprints of a block of benchmark items, and their words for the exact comparison."""
+    """A block of benchmark items as distinct windows, so that a phrase shared by many items is looked up once."""
 
     def __init__(self, items: list[tuple[str, str]]):
-        self.ids = [i for i, _ in items]
-        self.raw, begin = _laid([t.encode("utf-8", "surrogatepass") for _, t in items])
-        self.raw = _LOWER[self.raw]
-        self.start, self.end, self.hash = _words(self.raw, begin)
-        self.item = _doc_of(self.start, begin)
-        grams = _grams(self.hash, GRAM)
-        whole = _within(self.item, WINDOW)
-        self.tables = {WINDOW: self._table(grams, _kept(grams, whole))} if len(whole) else {}
-        first, n = np.unique(self.item, return_index=True)[1], np.bincount(self.item, minlength=len(items))
-        for k in range(1, WINDOW):
-            if len(at := first[n[self.item[first]] == k]):
-                self.tables[k] = self._table(_grams(self.hash, k), at)
-
-    @staticmethod
-    def _table(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(grams[at], kind="stable")
-        return grams[at][order], at[order]
-
-
-def _paired(values: np.ndarray, at: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Join positions with the index on the fingerprint: (document word, item word)."""
-    lo, hi = np.searchsorted(table[0], values, "left"), np.searchsorted(table[0], values, "right")
-    n = hi - lo
-    some = n > 0
-    at, lo, n = at[some], lo[some], n[some]
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(at, n), table[1][np.repeat(lo, n) + step]
-
-
-def _equal(raw, start, end, p, index: Index, q) -> np.ndarray:
-    """Whether words p of the documents and words q of the items have the same bytes."""
-    size = end[p] - start[p]
-    same = size == index.end[q] - index.start[q]
-    out = np.flatnonzero(same)
-    for at in range(0, len(out), STEP):
-        i = out[at : at + STEP]
-        n = size[i]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        differ = raw[np.repeat(start[p[i]], n) + step] != index.raw[np.repeat(index.start[q[i]], n) + step]
-        same[i] = np.add.reduceat(differ, np.cumsum(n) - n) == 0 if len(i) else True
-    return same
-
-
-def _hits(raw, start, end, h, doc, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(document word, item word, k): the exact occurrences of the items' windows of k words."""
-    for k, table in index.tables.items():
-        windows = _within(doc, k)
-        if k < WINDOW:
-            p, q = _paired(_grams(h, k)[windows], windows, table)
-        else:
-            grams = _grams(h, GRAM)
-            at = _kept(grams, windows)
-            p, q = _paired(grams[at], at, table)
-            # a hit extends to the windows around it
-            p, q = (np.concatenate([x - i for i in range(WINDOW - GRAM + 1)]) for x in (p, q))
-            inside = (p >= 0) & (q >= 0) & (p + k <= len(doc)) & (q + k <= len(index.item))
-            p, q = p[inside], q[inside]
-            inside = (doc[p] == doc[p + k - 1]) & (index.item[q] == index.item[q + k - 1])
-            p, q = p[inside], q[inside]
-        for i in range(k):
-            ok = h[p + i] == index.hash[q + i]
-            p, q = p[ok], q[ok]
-        for i in range(k):
-            ok = _equal(raw, start, end, p + i, index, q + i)
-            p, q = p[ok], q[ok]
-        yield p, q, k
-
-
-def find(texts: list[bytes], index: Index) -> list[tuple[int, list[tuple[int, int, int, int]], set[str]]]:
-    """For each text: its number of words, the runs of hit words as (word, word end, byte, byte end), the items found."""
-    raw, begin = _laid(texts)
-    start, end, h = _words(raw, begin)
-    doc, n = _doc_of(start, begin), len(texts)
-    low, cover, found = _LOWER[raw], np.zeros(len(start) + 1, np.int64), [set() for _ in texts]
-    for p, q, k in _hits(low, start, end, h, doc, index):
+        self.ids = sorted({i for i, _ in items})
+        rank = {x: n for n, x in enumerate(self.ids)}
+        of = np.array([rank[i] for i, _ in items], np.int64)
+        self.text = _Text([t.encode("utf-8", "surrogatepass") for _, t in items])
+        item = self.text.of
+        first, n = np.unique(item, return_index=True)[1], np.bincount(item, minlength=len(items))
+        self.windows = []
+        for k in range(1, WINDOW + 1):
+            at = _within(item, k) if k == WINDOW else first[n[item[first]] == k]
+            if len(at):
+                self.windows.append(_Windows(self.text, k, at, of))
+
+
+def find(texts: list[bytes], index: Index) -> list[tuple[int, list[tuple[int, int, int, int]], list[tuple[_Windows, np.ndarray]]]]:
+    """For each text: its number of words, the runs of hit words as (word, word end, byte, byte end), the windows found."""
+    t, n = _Text(texts), len(texts)
+    start, end, doc = t.start, t.end, t.of
+    cover, found = np.zeros(len(start) + 1, np.int64), [[] for _ in texts]
+    for windows in index.windows:
+        p, w = windows.occurrences(t, index.text)
         np.add.at(cover, p, 1)
-        np.add.at(cover, p + k, -1)
-        for d, i in np.unique(np.stack([doc[p], index.item[q]]), axis=1).T if len(p) else ():
-            found[d].add(index.ids[i])
+        np.add.at(cover, p + windows.k, -1)
+        if not len(p):
+            continue
+        # a window counts once a text, however often it occurs there
+        d, w = np.divmod(np.unique(doc[p] * len(windows.at) + w), len(windows.at))
+        edges = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        for a, b in zip(edges, np.r_[edges[1:], len(d)], strict=True):
+            found[d[a]].append((windows, w[a:b]))
     hit = np.cumsum(cover[:-1]) > 0
     edge = np.concatenate([[False], hit[:-1]])
     edge[1:] &= doc[1:] == doc[:-1]
@@ -191,10 +237,20 @@ def find(texts: list[bytes], index: Index) -> list[tuple[int, list[tuple[int, in
     first, runs = np.cumsum(words) - words, [[] for _ in texts]
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
         d = doc[x]
-        runs[d].append((x - int(first[d]), y + 1 - int(first[d]), int(start[x] - begin[d]), int(end[y] - begin[d])))
+        runs[d].append((x - int(first[d]), y + 1 - int(first[d]), int(start[x] - t.begin[d]), int(end[y] - t.begin[d])))
     return list(zip(words.tolist(), runs, found, strict=True))
 
 
+def n_items(found: list[tuple[_Windows, np.ndarray]]) -> int:
+    """Items of windows, those of several windows counted for each."""
+    return sum(int((x.first[w + 1] - x.first[w]).sum()) for x, w in found)
+
+
+def items_of(found: list[tuple[_Windows, np.ndarray]]) -> np.ndarray:
+    """Places in an index's ``ids`` of the items that hold any of the windows, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *(x.items[_ranges(x.first[w], x.first[w + 1] - x.first[w])] for x, w in found)]))
+
+
 _RUNS = pa.list_(pa.struct([("word", pa.int64()), ("word_end", pa.int64()), ("byte", pa.int64()), ("byte_end", pa.int64())]))
 _ADDED = "n_words long, runs array<struct<word:long,word_end:long,byte:long,byte_end:long>>, items array<string>"
 
@@ -210,69 +266,159 @@ def _merged(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
     return out
 
 
-def _scan(index: Index, text_at: int, added_at: int | None, drop_text: bool):
+def _runs_array(runs: list[list[tuple[int, int, int, int]]]) -> pa.Array:
+    flat = np.array([r for x in runs for r in x], np.int64).reshape(-1, 4)
+    offsets = np.cumsum([0, *map(len, runs)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, i])) for i in range(4)], fields=list(_RUNS.value_type)))
+
+
+def _scan(index: Index, text_at: int, drop_text: bool, hits_only: bool = False):
+    """The columns of a batch (but for the text, if it is dropped) with what was found in their texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = pa.array(index.ids, pa.string())
+
+        def made(b: pa.RecordBatch, found: list) -> Iterator[pa.RecordBatch]:
+            # ids are written out for each text, so texts that hold many make batches of their own
+            upto = np.cumsum([n_items(x[2]) for x in found])
+            at = 0
+            while at < len(found):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + MOST_IDS, "right")))
+                n, runs, items = zip(*found[at:to], strict=True)
+                items = list(map(items_of, items))
+                old = [c.slice(at, to - at) for i, c in enumerate(b.columns) if not (drop_text and i == text_at)]
+                offsets = pa.array(np.cumsum([0, *map(len, items)]).astype(np.int32))
+                new = [pa.array(n, pa.int64()), _runs_array(list(runs)), pa.ListArray.from_arrays(offsets, ids.take(pa.array(np.concatenate(items))))]
+                out = pa.RecordBatch.from_arrays(old + new, names=[*(f"c{i}" for i in range(len(old))), "n_words", "runs", "items"])
+                yield out.filter(pa.array([len(r) > 0 for r in runs])) if hits_only else out
+                at = to
+
         for b in batches:
             found, held, size = [], [], 0
-            for t in b.column(text_at):
+            for i, t in enumerate(b.column(text_at)):
                 held.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
                 size += len(held[-1])
-                if size >= STEP:
+                if size >= STEP or i + 1 == b.num_rows:
                     found += find(held, index)
                     held, size = [], 0
-            found += find(held, index) if held else []
-            n, runs, items = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [])
-            if added_at is not None:
-                old_runs, old_items = (b.column(added_at + i).to_pylist() for i in (1, 2))
-                runs = [_merged(x + [tuple(r.values()) for r in y]) for x, y in zip(runs, old_runs, strict=True)]
-                items = [x | set(y) for x, y in zip(items, old_items, strict=True)]
-            keys = ("word", "word_end", "byte", "byte_end")
-            new = [pa.array(n, pa.int64()), pa.array([[dict(zip(keys, r, strict=True)) for r in x] for x in runs], _RUNS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-            old = [c for i, c in enumerate(b.columns) if (added_at is None or i < added_at) and not (drop_text and i == text_at)]
-            names = [f"c{i}" for i in range(len(old))] + ["n_words", "runs", "items"]
-            yield pa.RecordBatch.from_arrays(old + new, names=names)
+            yield from made(b, found)
+
+    return run
+
+
+def _cut(text_at: int):
+    """Batches with the texts less their runs as a further column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t, runs in zip(b.column(text_at), b.column("runs"), strict=True):
+                text = t.as_py()
+                if runs := runs.as_py():
+                    raw = text.encode("utf-8", "surrogatepass")
+                    edges = [0, *(x for r in runs for x in (r["byte"], r["byte_end"])), len(raw)]
+                    text = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "surrogatepass")
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "cut"])
+
+    return run
+
+
+def _pieces(block_bytes: int):
+    """Items in pieces of a quarter of a block at most, where their words allow it; neighbours share all but one word of a
+    window, so that each window lies in a piece, and an item of fewer words than a window stays whole."""
+    most = max(1, block_bytes // 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, out = [], []
+            for i, t in enumerate(b.column(1)):
+                raw = t.as_py().encode("utf-8", "surrogatepass")
+                if len(raw) <= most:
+                    of.append(i)
+                    out.append(raw)
+                    continue
+                x = _Text([raw])
+                lo, n = 0, len(x.start)
+                while True:
+                    hi = min(n, max(lo + WINDOW, int(np.searchsorted(x.end, x.start[lo] + most, "right")) if n else 0))
+                    of.append(i)
+                    out.append(raw[x.start[lo] : x.end[hi - 1]] if n else b"")
+                    if hi >= n:
+                        break
+                    lo = hi - WINDOW + 1
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), pa.array([r.decode("utf-8", "surrogatepass") for r in out], pa.string())], names=["i", "t"])
 
     return run
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[Index]:
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct()
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[Callable[[], Index]]:
+    """The benchmark in blocks, each collected when it is asked for. Their sizes are known before: pieces are dealt to bins by
+    hash, bins are made finer until none is larger than a block, and bins in a row fill a block."""
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).where("i is not null and t is not null").distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-total // block_bytes)
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k) if n > 1 else items
-        yield Index(sorted((r.i, r.t) for r in part.collect()))
+    collected = lambda rows: Index(sorted((r.i, r.t) for r in rows.collect()))
+    if not total:
+        return []
+    if total <= block_bytes:
+        return [lambda: collected(items)]
+    items = keep(items.mapInArrow(_pieces(block_bytes), "i string, t string").distinct(), "items")
+    n, sizes = 4, {}
+    while True:
+        n *= max(2, -(-total // block_bytes)) if n == 4 else 2
+        bins = F.pmod(F.xxhash64("i", "t"), F.lit(n))
+        size = F.octet_length("t") + 1
+        sizes = {r.bin: (r.size, r.most) for r in items.groupBy(bins.alias("bin")).agg(F.sum(size).alias("size"), F.max(size).alias("most")).collect()}
+        # a bin that one piece of very long words fills cannot be made finer
+        if all(s <= max(block_bytes, 2 * m) for s, m in sizes.values()):
+            break
+    edges, filled = [], block_bytes + 1
+    for k in sorted(sizes):
+        if filled + sizes[k][0] > block_bytes:
+            edges.append(k)
+            filled = 0
+        filled += sizes[k][0]
+    part = lambda lo, hi: lambda: collected(items.where(bins.between(lo, hi - 1)))
+    return [part(lo, hi) for lo, hi in zip(edges, [*edges[1:], n], strict=True)]
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, with_docs: bool = False) -> DataFrame:
     """``(doc_id, n_words, runs, items)``: one row per row of ``docs``, or its own columns and these ``with_docs``.
 
     ``runs`` are the hit words as disjoint spans in words and in bytes of the UTF-8 text; ``items`` the ids, as
-    sorted strings, of the items of which a window occurs. The work is local to each document: the benchmark
-    is cut into blocks of ``block_bytes``, each block's size is known before it is sent out, and one pass
-    over the documents serves a block. Candidates come from joining fingerprints; each is then compared byte
-    by byte. Cases: null or wordless texts and items have no words and hit nothing; a null item_id takes no
-    part; an item_id on several rows is one item; repeated or null doc_ids are rows of their own; an empty
-    table on either side gives rows without hits.
+    sorted strings, of the items of which a window occurs. The work is local to each document. A block of ``block_bytes`` of
+    the benchmark, its size measured before, is sent to every task as distinct windows: a document's windows that keep
+    a fingerprint of the block are looked up once each, compared byte by byte, and lead to the items that hold them,
+    so that a phrase which many items share costs no pairs of places. A benchmark of several blocks takes a pass over the
+    texts for each, and only what was found is written in between. Cases: null or wordless texts and items have no words
+    and hit nothing; a null item_id takes no part; an item_id on several rows is one item; repeated or null doc_ids are
+    rows of their own; very long texts are worked on whole; an empty table on either side gives rows without hits;
+    further columns keep their names, whatever these are.
     """
     cols = docs.columns if with_docs else [id_col, text_col]
-    before = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
-    df, text_at = before, cols.index(text_col)
-    types = [f"c{i} {t}" for i, (_, t) in enumerate(before.dtypes)]
-    indexes = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    now, following, added = next(indexes, Index([])), next(indexes, None), None
-    while now is not None:
-        last = following is None
-        drop = last and not with_docs
-        kept = [t for i, t in enumerate(types) if not (drop and i == text_at)]
-        if drop:
-            kept = [f"c{i} {t.split(' ', 1)[1]}" for i, t in enumerate(kept)]
-        df = df.mapInArrow(_scan(now, text_at, added, drop), ", ".join([*kept, _ADDED]))
-        if not last:
-            df = keep(df, "winnow")
-        now, following, added = following, next(indexes, None), len(types)
-    out = cols if with_docs else [id_col]
-    return df.toDF(*out, "n_words", "runs", "items")
+    df, text_at = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]), cols.index(text_col)
+    out = [*(cols if with_docs else [id_col]), "n_words", "runs", "items"]
+    types = [t for i, (_, t) in enumerate(df.dtypes) if with_docs or i != text_at]
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    if len(blocks) <= 1:
+        index = blocks[0]() if blocks else Index([])
+        return df.mapInArrow(_scan(index, text_at, not with_docs), ", ".join([*(f"c{i} {t}" for i, t in enumerate(types)), _ADDED])).toDF(*out)
+    df = keep(df.withColumn("rid", F.monotonically_increasing_id()), "winnow")
+    rows, found = df.select("rid", f"c{text_at}"), None
+    for block in blocks:
+        part = keep(rows.mapInArrow(_scan(block(), 1, True, found is not None), f"c0 long, {_ADDED}"), "winnow-block")
+        found = part if found is None else found.union(part)
+    held = F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    found = found.groupBy(F.col("c0").alias("rid")).agg(F.max("n_words").alias("n_words"), *held)
+    found = found.mapInArrow(_joined_runs, f"rid long, {_ADDED}")
+    left = [f"c{i}" for i in range(len(cols)) if with_docs or i != text_at]
+    return df.join(found, "rid").select(*left, "n_words", "runs", "items").toDF(*out)
+
+
+def _joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        runs = [_merged([tuple(r.values()) for r in x]) for x in b.column("runs").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _runs_array(runs), b.column(3)], names=b.schema.names)
 
 
 def n_hit() -> F.Column:
@@ -283,17 +429,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, most_items: int = 1, te
     """``docs`` without the documents that hold windows of over ``most_items`` items.
 
     From the others the hit words are cut out, and ``chars_col``, where it exists, is set anew for a text that
-    lost any; texts without hits stay as they are.
+    lost any; texts without hits stay as they are. Cases: a null, empty or wordless text stays as it is; the text of a very long
+    document is cut in one pass; repeated rows and null ids are rows of their own; an empty table gives no rows, an empty
+    benchmark changes none; further columns pass through, whatever their names.
     """
     names = docs.columns
+    text_at = names.index(text_col)
     found = find_benchmark(docs, benchmark, text_col=text_col, with_docs=True, **options).toDF(*[f"c{i}" for i in range(len(names))], "n_words", "runs", "items")
-    found = found.where(F.size("items") <= most_items)
-    t, raw = F.col(f"c{names.index(text_col)}"), F.encode(F.col(f"c{names.index(text_col)}"), "UTF-8")
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("runs", lambda r: r.byte_end))
-    starts = F.concat(F.transform("runs", lambda r: r.byte), F.array(F.octet_length(t).cast("long")))
-    pieces = F.zip_with(ends, starts, lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "UTF-8"))
-    cut = F.when(F.size("runs") > 0, F.array_join(pieces, "")).otherwise(t)
-    found = found.withColumn("cut", cut)
+    found = found.where(F.size("items") <= most_items).select(*[f"c{i}" for i in range(len(names))], "runs")
+    schema = ", ".join(f"{c} {t}" for c, t in [*found.dtypes, ("cut", "string")])
+    found = found.mapInArrow(_cut(text_at), schema)
     out = []
     for i, c in enumerate(names):
         value = F.col("cut") if c == text_col else F.col(f"c{i}")
