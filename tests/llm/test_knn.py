@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,16 +46,45 @@ def test_cases(spark):
     assert ask(df.where("vec_id = 20")) == []
 
 
-def test_rings_leave_rows_out(spark):
-    """Far clusters are not sent to a group that cannot need them."""
-    rng = random.Random(3)
-    rows = []
-    for i in range(400):
-        side = 1.0 if i % 2 else -1.0
-        rows.append((i, [side * 0.9 + rng.gauss(0, 0.01), rng.gauss(0, 0.01)], 1, 2, 0.5, 3))
-    df = spark.createDataFrame(rows, SCHEMA)
-    got = ask(df, k=5, pivots=8, queries=5)
-    assert got == plain([(r[0], ints(r[1])) for r in rows], 5)
+@pytest.mark.parametrize("norms", [False, True])
+def test_rings_leave_rows_out(spark, norms):
+    """On clusters that lie apart few pairs are compared and few rows are sent, and nothing is lost."""
+    draw = np.random.default_rng(1)
+    centres = draw.normal(size=(40, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    v = centres[np.arange(8000) % 40] + draw.normal(0, 0.02, (8000, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    if norms:
+        v *= draw.uniform(0.5, 2, (8000, 1))
+    v = np.floor(640 * v).astype(int)
+    data = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, vec array<long>")
+    report = {}
+    got = {}
+    for r in knn_join(data, F.col("vec_id") % 20 == 0, report=report).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
+    scores = v[::20] @ v.T
+    for i, s in enumerate(scores):
+        order = sorted((-int(x), j) for j, x in enumerate(s) if j != 20 * i)[:20]
+        assert sorted(got[20 * i]) == [(n + 1, *x) for n, x in enumerate(order)]
+    assert (report["rows"], report["queries"]) == (8000, 400) and report["groups"] > 1
+    assert report["compared"] < 0.3 * 8000 * 400 and report["sent"] < 0.3 * 8000 * report["groups"]
+
+
+def test_groups_of_what_needs_the_same(spark):
+    """Where no ring leaves rows out, the rows are sent once for all the queries that a task can take."""
+    rng = random.Random(7)
+    rows = [(i, [rng.randrange(-60, 60) for _ in range(24)]) for i in range(1500)]
+    report = {}
+    got = knn_join(spark.createDataFrame(rows, "vec_id long, vec array<long>"), F.col("vec_id") % 20 == 0, report=report)
+    assert sorted(map(tuple, got.collect())) == plain(rows, 20)
+    assert report["groups"] == 1 and report["sent"] <= 1500
+
+
+def test_zero_vectors_and_ties(spark):
+    rows = [(i, [0, 0]) for i in range(0, 80, 20)] + [(i, [3, 4]) for i in range(1, 40)] + [(100, [3, 4]), (120, [-3, -4])]
+    data = spark.createDataFrame(rows, "vec_id long, vec array<long>")
+    for options in ({}, {"k": 2, "queries": 1, "slice_rows": 5}):
+        assert sorted(map(tuple, knn_join(data, F.col("vec_id") % 20 == 0, **options).collect())) == plain(rows, options.get("k", 20))
 
 
 def test_own_rows_do_not_fill_the_bound(spark):
