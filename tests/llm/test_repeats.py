@@ -1,9 +1,11 @@
 import random
 import re
+import time
 
+import xxhash
 from samples import prose
 
-from tidelog.llm.repeats import remove_repeats, repeated_passages, units
+from tidelog.llm.repeats import GRAM, LEAST_WORDS, RAGGED, WINDOW, remove_repeats, repeated_passages, units
 
 
 def plain_units(text):
@@ -111,3 +113,95 @@ def test_passages_inside_sentences(spark):
         (r,) = got[100 + i]
         inside = rows[12 + i][1][r.start : r.end]
         assert inside in passage and len(inside.split()) == r.n_words >= 26 and r.kept_doc_id == i and r.start >= len(head)
+
+
+def taken_grams(words):
+    """Places of grams of GRAM words whose number is least in some WINDOW of them, by whole numbers."""
+    top, numbers = (1 << 64) - 1, []
+    for i in range(len(words) - GRAM + 1):
+        x = 0
+        for w in words[i : i + GRAM]:
+            x = (x * 0x9E3779B97F4A7C15 + xxhash.xxh3_64_intdigest(w.encode())) & top
+        x = ((x ^ x >> 31) * 0xBF58476D1CE4E5B9) & top
+        numbers.append(x ^ x >> 29)
+    out = set()
+    for i in range(len(numbers) - WINDOW + 1):
+        part = numbers[i : i + WINDOW]
+        out |= {i + j for j, x in enumerate(part) if x == min(part)}
+    return sorted(out)
+
+
+def plain_default(rows):
+    """All that the query does, text by text, over (doc_id, text) rows in the order of their rank."""
+    seen, out = {}, []
+    for n, (doc, text) in enumerate(rows):
+        text, places, at = text or "", [], 0
+        for start, end, unit in plain_units(text):
+            places.append({"at": at, "start": start, "end": end, "words": len(unit.split()), "line": text.count("\n", 0, start), "unit": unit})
+            at += len(unit.split())
+        of_line = {}
+        for p in places:
+            of_line.setdefault(p["line"], []).append(p)
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        grams = [{"at": i, "start": words[i][0], "end": words[i + GRAM - 1][1], "words": GRAM, "unit": "\n".join(text.lower().split()[i : i + GRAM])} for i in taken_grams(text.lower().split())]
+        # a whole line of several units is a unit of its own; what was there first is told by (text, place)
+        lines = [{"at": u[0]["at"], "unit": " ".join(p["unit"] for p in u), "of": u} for u in of_line.values() if len(u) > 1]
+        for p in sorted([*places, *lines, *grams], key=lambda p: p["at"]):
+            seen.setdefault(p["unit"], (n, p["at"], doc))
+        again = lambda p, apart: seen[p["unit"]][0] != n or p["at"] - seen[p["unit"]][1] >= apart  # noqa: E731, B023
+        for p in places:
+            p["again"], p["whole"] = again(p, 1), len(of_line[p["line"]]) == 1
+        for line in lines:
+            if again(line, 1):
+                for p in line["of"]:
+                    p["whole"] = True
+        kept, run = [], []
+        for p in [*places, {"again": False}]:
+            if p["again"]:
+                run.append(p)
+                continue
+            enough = sum(x["words"] for x in run) >= LEAST_WORDS
+            kept += [x for x in run if enough or x["whole"]]
+            run = []
+        covered = {w for p in kept for w in range(p["at"], p["at"] + p["words"])}
+        kept = [(p["at"], 0, p, 1) for p in kept]
+        kept += [(p["at"], 1, p, 0) for p in grams if again(p, GRAM) and len(set(range(p["at"], p["at"] + GRAM)) - covered) >= RAGGED]
+        spans = []
+        for a, _, p, count in sorted(kept, key=lambda x: x[:2]):
+            if spans and a <= spans[-1][1]:
+                spans[-1][1], spans[-1][3], spans[-1][4] = max(spans[-1][1], a + p["words"]), max(spans[-1][3], p["end"]), spans[-1][4] + count
+            else:
+                spans.append([a, a + p["words"], p["start"], p["end"], count, seen[p["unit"]][2]])
+        out += [(doc, s, e, c, hi - lo, first) for lo, hi, s, e, c, first in spans]
+    return sorted(out)
+
+
+def test_the_whole_query_against_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}" for a in "abcdefghij" for b in ("an", "Er", "ing", "ly,", "é")]
+    sentence = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n)) + rng.choice([".", "!", "?", "...", ""])
+    stock = [sentence(rng.randrange(1, 15)) for _ in range(40)] + [" ".join(sentence(rng.randrange(3, 40)) for _ in range(3)) for _ in range(6)]
+    rows = list(ROWS)
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randrange(12)):
+            part = rng.choice(stock) if rng.random() < 0.6 else sentence(rng.randrange(1, 60))
+            if rng.random() < 0.2:
+                part = " ".join(part.split()[rng.randrange(3) :])
+            parts += [part, rng.choice([" ", "\n", "  ", " \n\n"])]
+        rows.append((100 + i, "".join(parts)))
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = plain_default(rows)
+    assert sorted(map(tuple, got.collect())) == want
+    assert {w[3] == 0 for w in want} == {True, False} and any(w[4] < LEAST_WORDS for w in want)
+
+
+def test_time_goes_with_the_text(spark):
+    """Long rows of marks, and of repeats, in one text."""
+    dots, many = "." * 1_000_000 + "a", "On and on. Off.\n" * 60_000
+    assert [u[:2] for u in units(dots)] == [(0, len(dots))] and len(list(units("! " * 300_000))) == 300_000
+    df = spark.createDataFrame([(1, dots, 0), (2, many, 0)], "doc_id long, text string, n_chars long")
+    began = time.time()
+    got = {r.doc_id: r for r in remove_repeats(df).collect()}
+    assert time.time() - began < 60
+    assert got[1].text == dots and got[2].text.rstrip("\n") == "On and on. Off."

@@ -25,7 +25,8 @@ RAGGED = 8
 MEMORY = 200_000
 #: Units handed on at once.
 STEP = 100_000
-_UNIT = re.compile(r"[.!?]+(?=\s|\Z)|\S[^\n]*?(?:[.!?]+(?=\s|\Z)|(?=\n)|\Z)")
+#: Where a unit ends, found in one pass: after a mark that white space or the end follows, or before a line break.
+_END, _BEGIN = re.compile(r"[.!?](?=\s|\Z)|\n"), re.compile(r"\S")
 #: ``at`` is the place of the first word among the text's; ``lines`` is 0 for a part of a line, 1 for a unit that is a whole
 #: line, and the number of units for a line of several, which is a row besides those of its units; -1 for a gram.
 _PLACE = "rid long, doc_id {kind}, at int, start int, end int, words int, lines int, h1 long, h2 long"
@@ -34,8 +35,12 @@ _SPAN = "rid long, doc_id {kind}, start long, end long, n_units long, n_words lo
 
 def units(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, normalised text) of each unit: lower-cased, with single spaces; offsets are in code points."""
-    for m in _UNIT.finditer(text):
-        yield m.start(), m.end(), " ".join(m.group().lower().split())
+    at = 0
+    for m in chain(_END.finditer(text), [None]):
+        end = len(text) if m is None else m.start() if m.group() == "\n" else m.end()
+        if begin := _BEGIN.search(text, at, end):
+            yield begin.start(), end, " ".join(text[begin.start() : end].lower().split())
+        at = end
 
 
 def _places(text: str) -> Iterator[tuple[int, int, int, int, int, str]]:
@@ -241,10 +246,25 @@ def repeated_passages(docs: DataFrame, least_words: int | None = None, id_col: s
     return _spans(rows, least_words).drop("rid")
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for text, spans in zip(b.column(2), b.column(1), strict=True):
+            text = text.as_py()
+            if spans := spans.as_py():
+                edges = [0, *(x for s in spans for x in (s["start"], s["end"])), len(text)]
+                text = "".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+            out.append(text)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["doc", "removed", "left"])
+
+
 def remove_repeats(docs: DataFrame, least_words: int | None = None, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with those stretches cut out, ``chars_col`` set anew there, and ``removed``, their original offsets.
 
-    Rows are written once with a number each, by which spans find their row again.
+    Rows are written once with a number each, by which spans find their row again; a text is cut in one pass.
+    Cases: null and empty texts stay as they are, with nothing removed; very long texts are worked on whole; repeated rows
+    lose all but the first one's text and stay as rows; an empty table gives no rows; further columns pass through, whatever
+    their names.
     """
     names = docs.columns
     row = F.struct([F.col(f"`{c}`") for c in names]).alias("doc")
@@ -253,11 +273,9 @@ def remove_repeats(docs: DataFrame, least_words: int | None = None, id_col: str
     spans = keep(spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed")), "removed")
     none = F.array().cast("array<struct<start:long,end:long>>")
     out = numbered.join(spans, "rid", "left").withColumn("removed", F.coalesce("removed", none))
-    text = F.col("doc")[text_col]
-    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("removed", lambda s: s.end))
-    ends = F.concat(F.transform("removed", lambda s: s.start), F.array(F.char_length(text).cast("long")))
-    left = F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))), "")
-    out = out.withColumn("left", F.when(F.size("removed") > 0, left).otherwise(text))
+    text = F.col("doc")[text_col].cast("string")
+    schema = out.select("doc", "removed", text.alias("left")).schema
+    out = out.select("doc", "removed", text.alias("left")).mapInArrow(_cut, schema)
     columns = []
     for c in names:
         value = F.col("left") if c == text_col else F.col("doc")[c]
