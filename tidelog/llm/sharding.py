@@ -19,6 +19,8 @@ OVERHEAD = 8
 _SIGN = 1 << 63
 #: Bits of a part by which rows are spread for counting their places.
 CELL_BITS = 12
+#: Bytes of documents that a file of a shard holds, about.
+FILE_BYTES = 256 << 20
 
 
 def _digit(level: int) -> Column:
@@ -110,9 +112,9 @@ def assign_shards(docs: DataFrame, shards: int = 24, tolerance: float = 0.001, i
     only a splitter parts them: any group, a third of all rows too, is cut where the bytes ask for it.
     Shards differ by ``tolerance`` of their mean size, or by a row where one is larger. ``slot`` counts
     from 0 in each shard: places are counted in cells of a few thousandths of the rows (a cell that equal
-    texts fill is cut by doc_id), each cell begins where those before it end, and the rows are
-    exchanged once. Cases: null text is empty; null and repeated doc_ids are rows like any other; an
-    empty table gives no rows; further columns are ignored.
+    texts fill is cut by doc_id, one that equal texts of equal ids fill by row), each cell begins where those before it
+    end, and the rows are exchanged once. Cases: null text is empty; a very long text is a row like any other and may fill
+    a shard; null and repeated doc_ids are rows like any other; an empty table gives no rows; further columns are ignored.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     keys = docs.select(
@@ -123,26 +125,45 @@ def assign_shards(docs: DataFrame, shards: int = 24, tolerance: float = 0.001, i
     )
     keys = keep(keys, "shard-keys")
     edges = splitters(keys, shards, tolerance)
-    c1, c2 = (F.shiftright(F.col(h), 64 - CELL_BITS) for h in ("h1", "h2"))
-    cells, rows = keys.groupBy(c1.alias("c1")).agg(F.count("*").alias("n")), keys.count()
+    c1, c2, cell = F.shiftright("h1", 64 - CELL_BITS), F.shiftright("h2", 64 - CELL_BITS), ["shard", "c1", "c2", "c3"]
+    none, rows = F.lit(0).cast("long"), keys.count()
     # over four times the mean: at most a quarter of the cells
-    heavy = [r.c1 for r in cells.where(F.col("n") > max(256, 4 * rows >> CELL_BITS)).collect()]
-    dealt = keys.select("*", shard_of(edges).cast("int").alias("shard"), c1.alias("c1"))
-    dealt = dealt.withColumn("c2", F.when(F.col("c1").isin(heavy), c2).otherwise(F.lit(0).cast("long")) if heavy else F.lit(0).cast("long"))
-    size = dealt.groupBy("shard", "c1", "c2").agg(F.count("*").alias("n"))
-    begin = F.sum("n").over(W.partitionBy("shard").orderBy("c1", "c2")) - F.col("n")
-    begin = keep(size.select("shard", "c1", "c2", begin.alias("begin")), "shard-cells")
-    in_cell = F.row_number().over(W.partitionBy("shard", "c1", "c2").orderBy("h1", "h2", "h3"))
-    out = dealt.join(begin, ["shard", "c1", "c2"])
+    most = max(256, 4 * rows >> CELL_BITS)
+    heavy = [r.c for r in keys.groupBy(c1.alias("c")).count().where(F.col("count") > most).collect()]
+    both = F.shiftleft(c1, CELL_BITS) + c2
+    heavier = [r.c for r in keys.where(c1.isin(heavy)).groupBy(both.alias("c")).count().where(F.col("count") > most).collect()] if heavy else []
+    dealt = keys.select(
+        "*",
+        shard_of(edges).cast("int").alias("shard"),
+        c1.alias("c1"),
+        (F.when(c1.isin(heavy), c2).otherwise(none) if heavy else none).alias("c2"),
+        # rows of one partition in a row
+        (F.when(both.isin(heavier), F.shiftright("h3", CELL_BITS)).otherwise(none) if heavier else none).alias("c3"),
+    )
+    size = dealt.groupBy(cell).agg(F.count("*").alias("n"))
+    begin = F.sum("n").over(W.partitionBy("shard").orderBy("c1", "c2", "c3")) - F.col("n")
+    begin = keep(size.select(*cell, begin.alias("begin")), "shard-cells")
+    in_cell = F.row_number().over(W.partitionBy(cell).orderBy("h1", "h2", "h3"))
+    out = dealt.join(begin, cell)
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("begin") + in_cell - 1).alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 24, files: int = 8, tolerance: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` as Parquet under ``path/shard=0`` and so on, each shard in up to ``files`` files."""
+def write_shards(docs: DataFrame, path: str, shards: int = 24, files: int | None = None, tolerance: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write ``docs`` as Parquet under ``path/shard=0`` and so on, each shard in up to ``files`` files, by default as many as
+    its bytes ask for at FILE_BYTES each.
+
+    Cases: null text is empty; a very long text is a row like any other; null and repeated ids and repeated rows are rows of
+    their own, spread over the files; an empty table writes no shard; further columns are written as they are, but ``docs`` may
+    not have a column ``shard``, which names the folders.
+    """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     size = (F.octet_length(text) + OVERHEAD).cast("long").alias("size")
-    edges = splitters(keep(docs.select(size, *_keyed(docs, id_col, text_col)), "shard-keys"), shards, tolerance)
+    keys = keep(docs.select(size, *_keyed(docs, id_col, text_col)), "shard-keys")
+    edges = splitters(keys, shards, tolerance)
+    files = files or max(1, -(-(keys.agg(F.sum("size")).first()[0] or 0) // (shards * FILE_BYTES)))
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), *_keyed(docs, id_col, text_col))
-    rows = rows.select("doc", "h2", shard_of(edges).alias("shard")).repartition("shard", F.pmod("h2", F.lit(files)))
+    # the row parts equal texts of equal ids
+    file = F.pmod(F.xxhash64("h1", "h2", "h3"), F.lit(files))
+    rows = rows.select("doc", file.alias("file"), shard_of(edges).alias("shard")).repartition(shards * files, "shard", "file")
     rows.select("doc.*", "shard").write.partitionBy("shard").parquet(path)
