@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from samples import prose
 
 from tidelog.llm import language, toxicity
@@ -105,7 +106,8 @@ def bags(n, seed):
 
 
 def sample(rows):
-    return Sample.of(pa.table({"toxic": pa.array([t for _, t in rows], pa.int32()), "units": pa.array([sorted(units(x)) for x, _ in rows], pa.list_(pa.string()))}))
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows], pa.int32()), pa.array([x for x, _ in rows], pa.string())], names=["toxic", "text"])
+    return Sample.of(pa.Table.from_batches(list(toxicity._bags(iter([batch])))))
 
 
 def test_training_and_inserted_characters():
@@ -148,3 +150,120 @@ def test_toxicity_query(spark, edge_docs, no_docs):
     assert toxicity.toxicity(edge_docs, labels).count() == edge_docs.count()
     assert toxicity.toxicity(no_docs, labels).count() == 0
     assert {r.score for r in toxicity.toxicity(edge_docs, labels.where("false")).collect()} == {0.0}
+
+
+def two_word_bags(n, seed):
+    """Two words that are harmless apart and an insult side by side."""
+    rng, out = random.Random(seed), []
+    for i in range(n):
+        words = prose(f"{seed}{i}", 60).split()
+        for w in ("dung", "heap", "dung", "heap"):
+            words.insert(rng.randrange(len(words)), w)
+        words = [w for a, w in zip(["", *words], words, strict=False) if (a, w) != ("dung", "heap")]
+        if toxic := rng.random() < 0.4:
+            at = rng.randrange(len(words))
+            words[at:at] = ["dung", "heap"]
+        out.append((" ".join(words), int(toxic)))
+    return out
+
+
+def test_insults_of_two_words():
+    model = train(sample(two_word_bags(300, "two")), 0.4)
+    assert model.pairs
+    score, test = toxicity.Scorer(model), two_word_bags(200, "more")
+    assert np.mean((score([x for x, _ in test]) >= 0.5) == np.array([t for _, t in test])) > 0.95
+    base = prose("c", 50)
+    assert score([f"{base} you dung heap {base}", f"{base} a Dung-heap {base}", f"{base} d.ung heap! {base}"]).min() >= 0.5
+    assert score([f"{base} dung {base}", f"heap of dung {base}", f"{base} of dung. Heap {base}", ""]).max() < 0.5
+    assert not train(sample(bags(300, "a")), 0.4).pairs
+
+
+def test_pairs_are_told_from_their_numbers():
+    s = sample([("One two three. Four five", 1), ("five one", 0)])
+    assert sorted(s.pairs_of(s.pairs[0])) == ["four five", "one two", "two three."] and s.pairs_of(s.pairs[1]) == ["five one"]
+    assert toxicity.pairs("a b. c\nd e") == {"a b.", "d e"}
+
+
+STEMS = [("quav", "er ing est ly ed on"), ("zorp", "an en un in on er")]
+
+
+def stem_bags(n, seed):
+    rng, out = random.Random(seed), []
+    for i in range(n):
+        words = prose(f"{seed}{i}", 60).split()
+        if toxic := rng.random() < 0.3:
+            stem, ends = rng.choice(STEMS)
+            words[rng.randrange(60)] = rng.choice(["stupid", "moron", stem + rng.choice(ends.split()) + rng.choice(ends.split())])
+        out.append((" ".join(words), int(toxic)))
+    return out
+
+
+@pytest.mark.parametrize(("n", "make"), [(100, bags), (300, bags), (900, bags), (800, stem_bags), (1600, stem_bags)])
+def test_recall_at_numbers_of_labels(n, make):
+    """Held-out recall and precision; with more labels also of insults of which each is rare and only their stem is common."""
+    model = train(sample(make(n, f"n{n}")), 0.3)
+    test = make(400, f"held{n}")
+    found, truth = toxicity.Scorer(model)([x for x, _ in test]) >= 0.5, np.array([t for _, t in test]) == 1
+    assert (found & truth).sum() >= 0.9 * truth.sum() and (found & truth).sum() >= 0.95 * found.sum()
+
+
+def plain_margin(model, unit):
+    s = toxicity._symbols(np.array([*map(ord, unit)], np.uint32))
+    held = {}
+    for i in range(len(unit)):
+        for j in range(i + 1, len(unit)):
+            for k in range(j + 1, min(len(unit), i + toxicity.SPAN)):
+                if s[i] and s[j] and s[k]:
+                    held.setdefault(int(s[i]) * 1024 + int(s[j]) * 32 + int(s[k]), []).append(toxicity.DECAY ** (k - i + 1))
+    norm = sum(w * w for ws in held.values() for w in ws) ** 0.5 or 1
+    return sum(sum(ws) * float(model.table[c]) for c, ws in held.items()) / norm + model.bias
+
+
+@pytest.mark.parametrize("make", [bags, two_word_bags])
+def test_toxicity_query_against_brute_force(spark, make):
+    rows = [*make(120, "brute"), ("", 0), ("x" * 200 + " m o r o n", 1), (None, 0)]
+    docs = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    for r in toxicity.toxicity(docs, labels).collect():
+        text = rows[r.doc_id][0] or ""
+        every = units(text) | (toxicity.pairs(text) if model.pairs else set())
+        worst = max((plain_margin(model, u) for u in every), default=toxicity._NONE)
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(model.slope * worst + model.offset, -30, 30)))) < 1e-4
+        assert r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_language_query_against_brute_force(spark, lang_docs):
+    """Every window by plain loops over filters and places; of equal shares the first language wins."""
+    docs = lang_docs.limit(40).union(spark.createDataFrame([(900, "ab " * 300, "en"), (901, None, "en"), (902, "", "xx"), (903, "1 2", "xx"), (904, "ß", None)], lang_docs.schema)).cache()
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    net = language.fit(docs, fold != 2)
+    for r in identify_language(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        raw = (r.text or "").encode()
+        if not any(map(str.isalpha, r.text or "")):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = np.zeros(len(net.labels))
+        for at in range(0, len(raw), language.WINDOW):
+            part = raw[at : at + language.WINDOW]
+            x, h = part.ljust(language.WINDOW, b"\0"), []
+            for k, w in enumerate(language.WIDTHS):
+                z = np.max([sum(net.filters[k][i][x[t + i]] for i in range(w)) for t in range(language.WINDOW - w + 1)], axis=0)
+                h += np.maximum(z + net.bias[k], 0).tolist()
+            e = np.array(h) @ net.out + net.prior
+            total += len(part) * np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        assert r.lang_pred == net.labels[int(total.argmax())] and abs(r.score - total.max() / total.sum()) < 1e-4
+
+
+def test_ties_between_languages():
+    net = Network(["aa", "bb"])
+    net.out[:] = 0
+    assert predict(net, ["text", "words " * 400]) == [("aa", 0.5)] * 2
+
+
+def test_every_language_is_learned(spark):
+    """No language is left out for being rare or one of many."""
+    rows = [(i, f"{chr(0x4E00 + i % 300)}{i} w", f"l{i % 300:03d}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.fit(docs, F.lit(True))
+    assert len(net.labels) == 300

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
-#: Bounds of the training sample: documents a language (as expected by a hash), windows a document, languages.
-SAMPLE_DOCS, SAMPLE_WINDOWS, MOST_LANGUAGES = 400, 6, 256
+#: Bounds of the training sample: documents a language and of all languages (as expected by a hash), windows a document.
+SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_WINDOWS = 400, 40_000, 6
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.02, 7
 UNKNOWN = "und"
 #: Windows whose responses are held at once.
@@ -113,17 +113,18 @@ def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def fit(docs: DataFrame, learn: F.Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Network | None:
-    """Train on windows of rows where ``learn`` holds: about SAMPLE_DOCS documents of each language, chosen by
-    a hash of their id, and up to SAMPLE_WINDOWS windows spread over each whole text."""
+    """Train on windows of rows where ``learn`` holds: about SAMPLE_DOCS documents of each language, fewer where SAMPLE_ALL in
+    all ask for it, chosen by a hash of their id, and up to SAMPLE_WINDOWS windows spread over each whole text."""
     rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.pmod(F.xxhash64(f"`{id_col}`", F.lit(SEED)), F.lit(1 << 30)).alias("h"), learn.alias("learn"))
     rows = rows.where("learn and lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    counts = rows.groupBy("lang").count()
+    # every language is learned: of many each gives fewer documents
+    n = counts.count()
+    if not n:
         return None
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("h") <= int((1 << 30) * min(1, SAMPLE_DOCS / r["count"]))))
-    found = rows.where(chosen).select("lang", "text").mapInArrow(_sample_windows, "lang string, bytes binary").collect()
+    most = max(1.0, min(SAMPLE_DOCS, SAMPLE_ALL / n))
+    share = counts.select("lang", (F.least(F.lit(1.0), most / F.col("count")) * (1 << 30)).alias("share"))
+    found = rows.join(share, "lang").where(F.col("h") <= F.col("share")).select("lang", "text").mapInArrow(_sample_windows, "lang string, bytes binary").collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["bytes"])))
     labels = sorted({r["lang"] for r in found})
     net = Network(labels)

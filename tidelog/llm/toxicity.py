@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +23,19 @@ LANDMARKS, NEGATIVES, COST, ROUNDS, SEED = 160, 8000, 10.0, 3, 11
 #: Sampled documents with COPY of their SKETCH least-hashed long units in common are compared; with this share of all
 #: their units in common they count as copies.
 SKETCH, COPY, ALIKE = 12, 4, 0.5
-#: A unit counts as an insult at first if this many sampled toxic documents hold it and next to no clean ones.
-LEAST_SEEN = 8
+#: A unit counts as an insult at first if this many sampled toxic documents hold it, a share of them in a small sample, and next
+#: to no clean ones.
+LEAST_SEEN, LEAST_SHARE = 8, 1 / 8
+#: So does one of fewer, and of over four letters (shorter ones are alike by chance), if units LIKE it by the kernel are in as many, and in clean ones at most OFTEN_CLEAN times as often, by the
+#: numbers of documents of each kind: how many such candidates are looked at, the commonest first, and how many other units they
+#: are held against.
+LIKE, OFTEN_CLEAN, CANDIDATES, HELD_AGAINST = 0.5, 0.05, 200, 40_000
+#: Pairs of words learned as insults at most, the commonest first, and pairs they are told from.
+MOST_PAIRS, OTHER_PAIRS = 500, 4000
 #: Units of a generation whose margins a task remembers (it keeps two).
 MEMO_UNITS = 150_000
 _SIZE = 32
+_ODD, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -56,6 +65,25 @@ def sentences(text: str) -> list[str]:
     return [s for s in _SENTENCE.split(text) if s]
 
 
+def pairs(text: str) -> set[str]:
+    """Neighbouring words of each sentence of a text as units of two words."""
+    out = set()
+    for s in sentences(text.lower()):
+        words = s.split()
+        out.update(f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if len(a) + len(b) < UNIT_CHARS)
+    return out
+
+
+def _number(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def _pair_numbers(text: str) -> list[int]:
+    """Pairs as numbers from which, with the words at hand, they can be told again."""
+    at = ((_number(a), _number(b)) for a, b in (p.split(" ", 1) for p in pairs(text)))
+    return sorted({((a * _ODD + b) & _MASK) - (1 << 63) for a, b in at})
+
+
 def _occurrences(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """(unit, code of the subsequence, weight) of every subsequence of three letters within SPAN, gap by gap."""
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -137,6 +165,11 @@ class Model:
     bias: float
     slope: float
     offset: float
+    #: Whether insults of two words were learned, so that pairs of words are units too.
+    pairs: bool = False
+
+    def units(self, text: str) -> set[str]:
+        return units(text) | pairs(text) if self.pairs else units(text)
 
     def margins(self, texts: list[str]) -> np.ndarray:
         out, norm = np.zeros(len(texts)), np.zeros(len(texts))
@@ -162,15 +195,17 @@ def _spread(names: list[str], most: int) -> list[str]:
 
 @dataclass
 class Sample:
-    """Documents as bags of units: ``units`` sorted, each bag an array of positions there, toxic bags first."""
+    """Documents as bags of units: ``units`` sorted, each bag an array of positions there, toxic bags first; ``pairs`` has the
+    numbers of each bag's pairs of words."""
 
     units: list[str]
     bags: list[np.ndarray]
     toxic: int
+    pairs: list[np.ndarray]
 
     @classmethod
     def of(cls, table: pa.Table) -> Sample:
-        """From rows of (toxic, units); the same for any order of rows."""
+        """From rows of (toxic, units, pairs); the same for any order of rows."""
         toxic = table.column("toxic").to_numpy() == 1
         lists = table.column("units").combine_chunks()
         coded = lists.flatten().dictionary_encode()
@@ -181,8 +216,12 @@ class Sample:
         codes = rank[coded.indices.to_numpy()] if len(names) else np.zeros(0, np.int32)
         ends = np.cumsum(pc.list_value_length(lists).to_numpy()) if len(lists) else np.zeros(0, int)
         bags = [np.unique(x) for x in np.split(codes, ends[:-1])] if len(lists) else []
-        bags = [sorted((x for x, t in zip(bags, toxic, strict=True) if t == want), key=lambda x: x.tobytes()) for want in (True, False)]
-        return cls([names[i] for i in order], bags[0] + bags[1], len(bags[0]))
+        lists = table.column("pairs").combine_chunks()
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy()) if len(lists) else np.zeros(0, int)
+        numbers = np.split(lists.flatten().to_numpy(), ends[:-1]) if len(lists) else []
+        order_of = lambda i: (not toxic[i], bags[i].tobytes(), numbers[i].tobytes())
+        at = sorted(range(len(bags)), key=order_of)
+        return cls([names[i] for i in order], [bags[i] for i in at], int(toxic.sum()), [numbers[i] for i in at])
 
     def counts(self, bags: list[np.ndarray]) -> np.ndarray:
         return np.bincount(np.concatenate([*bags, np.zeros(0, np.int32)]), minlength=len(self.units))
@@ -191,27 +230,94 @@ class Sample:
         """Without copies of bags before them, lest a group of copies makes its every unit look frequent."""
         hashes = np.array([zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in self.units], np.int64)
         long_, kept = np.array([len(u) > 5 for u in self.units], bool), []
-        for bags in (self.bags[: self.toxic], self.bags[self.toxic :]):
+        for rows in (range(self.toxic), range(self.toxic, len(self.bags))):
             known, out = {}, []
-            for bag in bags:
+            for i in rows:
+                bag = self.bags[i]
                 sketch = np.sort(hashes[bag[long_[bag]]])[:SKETCH].tolist()
                 others = Counter(known[h] for h in sketch if h in known).most_common(1)
                 if others and others[0][1] >= min(COPY, len(sketch)):
-                    other = out[others[0][0]]
+                    other = self.bags[out[others[0][0]]]
                     same = len(np.intersect1d(bag, other, assume_unique=True))
                     if same >= ALIKE * (len(bag) + len(other) - same):
                         continue
                 known |= dict.fromkeys(sketch, len(out))
-                out.append(bag)
+                out.append(i)
             kept.append(out)
-        return Sample(self.units, kept[0] + kept[1], len(kept[0]))
+        both = kept[0] + kept[1]
+        return Sample(self.units, [self.bags[i] for i in both], len(kept[0]), [self.pairs[i] for i in both])
+
+    def pairs_of(self, numbers: np.ndarray) -> list[str]:
+        """The pairs with these numbers: of each first word there can be, is the second one known?"""
+        known = np.array([_number(u) for u in self.units], np.uint64)
+        order = np.argsort(known)
+        out = []
+        for n in numbers.astype(np.uint64) + np.uint64(1 << 63):
+            second = n - known * np.uint64(_ODD)
+            at = np.minimum(np.searchsorted(known, second, sorter=order), len(known) - 1)
+            out += [f"{self.units[i]} {self.units[order[at[i]]]}" for i in np.flatnonzero(known[order[at]] == second)]
+        return out
+
+
+def _supported(units: list[str], at: np.ndarray, seen: np.ndarray, not_: np.ndarray, least: int, odds: float) -> np.ndarray:
+    """Those of the units ``at`` whose likes, each counted as often as it was seen, are in enough toxic and few clean documents."""
+    at = at[np.lexsort((at, -seen[at]))][:CANDIDATES]
+    if not len(at):
+        return at
+    marks = features([units[i] for i in at])
+    others = np.random.default_rng(SEED).permutation(len(units))[:HELD_AGAINST]
+    toxic, clean = np.zeros(len(at)), np.zeros(len(at))
+    for i in range(0, len(others), 2000):
+        part = others[i : i + 2000]
+        like = kernel([units[j] for j in part], marks) >= LIKE
+        toxic += (like * seen[part, None]).sum(0)
+        clean += (like * not_[part, None]).sum(0)
+    scale = len(units) / max(1, len(others))
+    return at[(toxic * scale >= least) & (clean <= OFTEN_CLEAN * odds * toxic)]
+
+
+def _machine(positive: list[str], weight: np.ndarray, negative: list[str]) -> Model:
+    """An SVM over the kernel with landmarks from both kinds; ``weight`` is that of the positives."""
+    names = _spread(positive[:400], LANDMARKS // 2) + _spread(negative[:400], LANDMARKS // 2)
+    marks = features(names)
+    value, vector = np.linalg.eigh(marks @ marks.T)
+    root = vector[:, value > 1e-8] / np.sqrt(value[value > 1e-8])
+    y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
+    weight = np.concatenate([weight / weight.sum(), np.full(len(negative), 1 / len(negative))]) * len(y)
+    w = _squared_hinge(kernel(positive + negative, marks) @ root, y, weight)
+    return Model((root @ w[:-1]) @ marks, float(w[-1]), 1.0, 0.0)
+
+
+def _insult_pairs(sample: Sample, best: np.ndarray, least: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Pairs of words that come with the label in documents that no single unit explains: names, numbers, documents."""
+    bags, toxic = sample.pairs, sample.toxic
+    missed = [x for x, m in zip(bags[:toxic], best[:toxic], strict=True) if m <= 0]
+    none = np.zeros(0, np.int64)
+    numbers, of = np.unique(np.concatenate([none, *missed]), return_inverse=True)
+    clean = np.concatenate([none, *bags[toxic:]])
+    seen = np.bincount(of, minlength=len(numbers))
+    held, n = np.unique(clean[np.isin(clean, numbers)], return_counts=True)
+    not_ = np.zeros(len(numbers), np.int64)
+    not_[np.searchsorted(numbers, held)] = n
+    if not len(numbers):
+        return [], none, none
+    at = np.flatnonzero((seen >= least) & (not_ <= 0.01 * seen))
+    at = at[np.lexsort((numbers[at], -seen[at]))][:MOST_PAIRS]
+    names, kept = [], []
+    for i in at.tolist():
+        for name in sample.pairs_of(numbers[i : i + 1])[:1]:
+            if all(sum(map(str.isalpha, w)) > 1 for w in name.split(" ", 1)):
+                names.append(name)
+                kept.append(i)
+    return names, numbers[kept], seen[kept]
 
 
 def train(sample: Sample, toxic_share: float) -> Model | None:
     """Multiple-instance SVM: a document (a bag of its sentences' units) is toxic for the unit that stands out most.
 
     Units that come with the label begin as positives; each further round takes from every toxic document the unit
-    with the largest margin, and to the negatives the clean documents' largest.
+    with the largest margin, and to the negatives the clean documents' largest. Where toxic documents are left
+    that no unit explains, pairs of neighbouring words that come with the label are learned too, told from pairs that share a word.
     """
     sample = sample.apart()
     units, bags, toxic = sample.units, sample.bags, sample.toxic
@@ -219,35 +325,49 @@ def train(sample: Sample, toxic_share: float) -> Model | None:
     if not toxic or not clean:
         return None
     seen, not_ = sample.counts(bags[:toxic]), sample.counts(bags[toxic:])
-    least = min(LEAST_SEEN, max(2, toxic // 8))
+    least = min(LEAST_SEEN, max(2, int(toxic * LEAST_SHARE)))
     letters = np.array([sum(c.isalpha() for c in u) for u in units])
     by_seen = lambda at: sorted(map(int, at), key=lambda i: (-seen[i], i))
-    positive = by_seen(np.flatnonzero((seen >= least) & (not_ <= 0.01 * seen) & (letters > 2)))[:1500]
-    if not positive:
-        return None
-    other = np.flatnonzero(not_)
-    negative = np.random.default_rng(SEED).permutation(other)[:NEGATIVES].tolist()
+    telling = (seen > 0) & (not_ <= 0.01 * seen) & (letters > 2)
+    positive = by_seen(np.flatnonzero(telling & (seen >= least)))[:1500]
+    positive += by_seen(_supported(units, np.flatnonzero(telling & (seen < least) & (letters > 4)), seen, not_, LEAST_SEEN, clean / toxic))
+    draw, other = np.random.default_rng(SEED), np.flatnonzero(not_)
+    negative = draw.permutation(other)[:NEGATIVES].tolist()
     negative += sorted(other.tolist(), key=lambda i: (-not_[i], i))[:1000]
     negative = list(dict.fromkeys(negative))
     named = lambda at: [units[i] for i in at]
-    for _ in range(ROUNDS):
-        names = _spread(named(positive[:400]), LANDMARKS // 2) + _spread(named(negative[:400]), LANDMARKS // 2)
-        marks = features(names)
-        value, vector = np.linalg.eigh(marks @ marks.T)
-        root = vector[:, value > 1e-8] / np.sqrt(value[value > 1e-8])
-        y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        often = seen[positive] ** 0.5
-        weight = np.concatenate([often / often.sum(), np.full(len(negative), 1 / len(negative))]) * len(y)
-        w = _squared_hinge(kernel(named(positive + negative), marks) @ root, y, weight)
-        model = Model((root @ w[:-1]) @ marks, float(w[-1]), 1.0, 0.0)
+    if not negative:
+        return None
+    model, best = None, np.full(len(bags), _NONE)
+    for _ in range(ROUNDS if positive else 0):
+        model = _machine(named(positive), seen[positive] ** 0.5, named(negative))
         margin = np.concatenate([model.margins(units[i : i + 20_000]) for i in range(0, len(units), 20_000)])
         top = [int(bag[margin[bag].argmax()]) if len(bag) else -1 for bag in bags]
         best = np.array([margin[i] if i >= 0 else _NONE for i in top])
+        last = positive, negative
         witness = Counter(i for i in top[:toxic] if i >= 0 and margin[i] > 0.5 and not not_[i])
         positive = by_seen({*positive, *(i for i, n in witness.items() if n >= 3)})[:2000]
         known = set(positive)
         hard = sorted({i for i in top[toxic:] if i >= 0 and margin[i] > -0.5})
         negative = [i for i in dict.fromkeys(hard + negative) if i not in known][: 2 * NEGATIVES]
+    names, numbers, often = _insult_pairs(sample, best, least)
+    if names:
+        positive, negative = last if model else ([], negative)
+        common, words = named(negative), [n.split(" ", 1) for n in names]
+        others = [f"{common[i]} {common[j]}" for i, j in draw.integers(0, len(common), (OTHER_PAIRS // 2, 2)).tolist()]
+        others += [f"{words[i % len(words)][0]} {common[j]}" if i % 2 else f"{common[j]} {words[i % len(words)][1]}" for i, j in enumerate(draw.integers(0, len(common), OTHER_PAIRS // 2).tolist())]
+        # the words of a pair are no insults by themselves
+        others = [o for o in dict.fromkeys(others + [w for ws in words for w in ws]) if o not in set(names) | set(named(positive))]
+        model = _machine(names + named(positive), np.concatenate([often, seen[positive]]) ** 0.5, others + common)
+        model.pairs = True
+        margin = np.concatenate([model.margins(units[i : i + 20_000]) for i in range(0, len(units), 20_000)])
+        of_pair = model.margins(names)
+        order = np.argsort(numbers)
+        for i, (bag, held) in enumerate(zip(bags, sample.pairs, strict=True)):
+            there = order[np.searchsorted(numbers, held[np.isin(held, numbers)], sorter=order)]
+            best[i] = max(margin[bag].max(initial=_NONE), of_pair[there].max(initial=_NONE))
+    if model is None:
+        return None
     y = np.array([1.0] * toxic + [0.0] * clean)
     weight = np.where(y > 0, toxic_share / toxic, (1 - toxic_share) / clean) * len(y)
     model.slope, model.offset = _calibrated(best, y, weight)
@@ -263,7 +383,7 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         if self.model is None:
             return np.zeros(len(texts))
-        bags = [units(t or "") for t in texts]
+        bags = [self.model.units(t or "") for t in texts]
         new = []
         for u in set().union(*bags):
             if u not in self.memo:
@@ -300,8 +420,9 @@ def _score(model: Model | None, text_at: int):
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [sorted(set().union(*map(units, sentences(t.as_py() or "")))) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], names=["toxic", "units"])
+        texts = [t.as_py() or "" for t in b.column(1)]
+        found = [sorted(set().union(*map(units, sentences(t)))) for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string())), pa.array(map(_pair_numbers, texts), pa.list_(pa.int64()))], names=["toxic", "units", "pairs"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
@@ -318,12 +439,17 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, i
     chosen = marks.where(h < share * (1 << 30))
     # the sample's bound is also that of what is sent to every task; the texts are not moved
     found = docs.select(at.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    bags = found.select(F.col("toxic").cast("int"), "text").mapInArrow(_bags, "toxic int, units array<string>").toArrow()
+    bags = found.select(F.col("toxic").cast("int"), "text").mapInArrow(_bags, "toxic int, units array<string>, pairs array<long>").toArrow()
     return train(Sample.of(bags), counts[1] / (counts[0] + counts[1]))
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
-    """``docs`` with ``score_col``, a double from 0 to 1; null texts are empty."""
+    """``docs`` with ``score_col``, a double from 0 to 1.
+
+    Cases: null, empty and wordless texts score as nothing bad; every unit of a very long text counts; texts alike score
+    alike, so repeated rows and ties are no matter; without a model all scores are 0; an empty table gives no rows; other
+    columns pass through, whatever their names.
+    """
     names = docs.columns
     rows = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     schema = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(rows.dtypes))
