@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,12 +52,50 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    Cuts the lineage and outlives any executor; what is read twice is computed once.
+    Cuts the lineage and outlives any executor; what is read twice is computed once. The table stays until ``forget``, or the
+    end of the ``passing`` block it was made in.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    if _scopes:
+        _scopes[-1].append(path)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove kept tables that nothing will read again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.kept_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables kept meanwhile are removed at the end, but for those handed to the function that it gives, which belong to the
+    block around it. What is read from them must have been written by then."""
+    _scopes.append([])
+    stay: list[str] = []
+
+    def spare(table: DataFrame) -> DataFrame:
+        stay.append(table.kept_path)
+        return table
+
+    try:
+        yield spare
+    finally:
+        for made in _scopes.pop():
+            if made in stay:
+                if _scopes:
+                    _scopes[-1].append(made)
+                continue
+            path = spark._jvm.org.apache.hadoop.fs.Path(made)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
