@@ -8,55 +8,67 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.packing import pack_documents
 from tidelog.llm.secrets import redact_secrets
-from tidelog.llm.simhash import near_duplicates
+from tidelog.llm.simhash import drop_near_copies
 from tidelog.llm.toxicity import fit, score_toxicity
 from tidelog.llm.winnow import decontaminate
-from tidelog.session import keep
+from tidelog.session import forget, keep, passing
 
 #: A document goes from this score on.
 TOXIC = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below TOXIC, by a model fitted to the labelled ones among them."""
+    """Documents that score below TOXIC, by a model fitted to the labelled ones among them.
+
+    Cases: null, empty and wordless texts stay; every unit of a very long text counts; rows of one text share their fate;
+    with no labels of both kinds all stay; an empty table gives no rows; further columns pass through, whatever their names.
+    """
     names = docs.columns
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score_toxicity(docs, model).toDF(*[f"c{i}" for i in range(len(names))], "score")
     return scored.where(F.col("score") < TOXIC).select([F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays; a row with null doc_id stays, as nothing tells it apart.
+    Cases: rows of one doc_id and unlike texts are told apart and may all stay; of rows alike in id and text one stays; a null
+    doc_id ranks last; null, empty and wordless texts are copies of one another; an empty table gives no rows; further columns
+    pass through, whatever their names.
     """
-    found = keep(near_duplicates(docs), "near-copies")
-    out = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    repeated = keep(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    if repeated.isEmpty():
-        return out
-    several = out.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return out.join(repeated, "doc_id", "left_anti").select(docs.columns).union(several)
+    return drop_near_copies(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with windows of two or more benchmark items go; from the others the windows' words are cut."""
+    """Documents with windows of two or more benchmark items go; from the others the windows' words are cut.
+
+    Cases: null, empty and wordless texts stay as they are, as all do with an empty benchmark; very long texts are cut in one
+    pass; repeated rows and null ids are rows of their own; an empty table gives no rows; further columns pass through.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of every secret found."""
+    """All documents, with a mark in place of every secret found.
+
+    Cases: a null text stays null and an empty one empty; a very long text is cut in one pass; repeated rows and null ids are
+    rows of their own; an empty table gives no rows; further columns pass through, whatever their names.
+    """
     return redact_secrets(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the sequences."""
+    """The pieces of the sequences.
+
+    Cases: null and empty texts are the end id alone; a very long text is cut into pieces of a whole sequence and a rest;
+    repeated rows and null ids are documents of their own; an empty table gives no rows; further columns are ignored.
+    """
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("simhash near-dedup", drop_near_copies),
+    ("simhash near-dedup", one_of_near_copies),
     ("benchmark decontamination", drop_benchmark),
     ("secret scans", hide_secrets),
     ("packing", pack),
@@ -67,7 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage kept, and its input, are removed once its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with passing(spark) as spare:
+            docs = spare(keep(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,8 @@ from test_simhash import plain_components, plain_fingerprint
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tidelog import session
+from tidelog.llm.simhash import drop_near_copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -62,11 +64,40 @@ def test_stages_against_plain_versions(spark, tmp_path):
 
 def test_repeated_and_null_ids_and_no_rows(spark, tmp_path):
     root = f"file://{tmp_path}"
-    one = prose(1, 40)
-    write(spark, root, [(1, one), (1, one), (2, one), (None, one), (None, prose(3, 40)), (3, None)], [(1, 1, 0)], [(1, prose(2, 20))])
+    one, two = prose(1, 40), prose(3, 40)
+    rows = [(1, one), (1, one), (1, two), (2, one), (None, one), (None, prose(4, 40)), (None, prose(4, 40)), (3, None), (4, ""), (None, None), (5, two), (5, two)]
+    write(spark, root, rows, [(1, 1, 0)], [(1, prose(2, 20))])
     docs = spark.read.parquet(f"{root}/documents.parquet")
-    kept = corpus_pipeline.drop_near_copies(spark, docs, root)
-    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, -1, 1, 3]
+    for list_rows in (8192, 2):
+        kept = drop_near_copies(docs, list_rows=list_rows)
+        assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted([(1, one), (1, two), (-1, prose(4, 40)), (3, "")])
     none = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, root).count() == 0
+
+
+def test_rows_alike_but_for_other_columns(spark):
+    rows = [(i % 2, prose(i % 2, 30), s) for i in range(6) for s in ("x", "y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `id` string")
+    got = [sorted(map(tuple, drop_near_copies(df.repartition(n)).collect())) for n in (1, 3, 5)]
+    assert len(got[0]) == 2 and got[0] == got[1] == got[2]
+
+
+def test_clashing_columns_pass_through(spark, edge_docs, no_docs, tmp_path):
+    root = f"file://{tmp_path}"
+    write(spark, root, [(1, "a")], [(1, 1, 0), (2, 1, 1)], [(1, prose(2, 20))])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, no_docs, root).columns == edge_docs.columns
+        out = stage(spark, edge_docs, root)
+        assert out.columns == edge_docs.columns and 0 < out.count() <= edge_docs.count()
+
+
+def test_what_stages_keep_is_removed(spark, tmp_path, monkeypatch):
+    """After a run only what its result is read from is left."""
+    root, shared = f"file://{tmp_path}/sf", tmp_path / "shared"
+    rows = bags(60, "p")
+    write(spark, root, [(i, t) for i, (t, _) in enumerate(rows)], [(i, 1, t) for i, (_, t) in enumerate(rows)], [(1, prose("i1", 20))])
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{shared}")
+    out = corpus_pipeline.run(spark, root)
+    left = {p.name.rsplit("-", 1)[0] for p in (shared / "tidelog").iterdir()}
+    assert left == {"secret-scans", "pieces", "piece-lengths", "piece-ranks"} and out.count() > 0

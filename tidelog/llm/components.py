@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.session import keep
+from tidelog.session import forget, keep
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -29,11 +29,12 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if tuple(now) == state or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = tuple(now)
-        both = e.select("u", "v").union(e.select("v", "u"))
+        before, both = e, e.select("u", "v").union(e.select("v", "u"))
         low = keep(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "large-star")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = keep(large, "large-edges")
-        low = keep(large.groupBy("u").agg(F.min("v").alias("m")), "small-star")
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = keep(small.union(low.select("u", "m")).distinct(), "edges")
+        lower = keep(large.groupBy("u").agg(F.min("v").alias("m")), "small-star")
+        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = keep(small.union(lower.select("u", "m")).distinct(), "edges")
+        forget(before, low, large, lower)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -50,6 +50,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
 
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(found.view(np.int64))], names=["id", "t1", "t2", "fp"])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id long, fp long)``: one row per row of ``docs``; the fingerprint's bits as a signed long."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -135,6 +141,8 @@ def near_links(prints: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     ``prints`` has distinct ``fp`` and a long ``node``. Posting lists of over ``list_rows``
     fingerprints take two more of the other five positional bytes into their key (of five agreeing
     bytes two lie there), and what is still longer is compared in pairs of bounded blocks.
+    Cases: texts, null, empty or very long, are behind their fingerprints by now; ``fp`` and ``node`` are not null;
+    a repeated fp is a link of its nodes; an empty table gives no rows; further columns are ignored.
     """
     index = prints.select(F.explode(positional_keys()).alias("key"), "fp", "node")
     long_ = keep(index.groupBy("key").count().where(F.col("count") > list_rows).select("key"), "hot-keys")
@@ -177,7 +185,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = keep(of_id.where("lo <> hi").select("doc_id", "lo"), "ids-of-several-texts")
     if not several.isEmpty():
         links = links.union(prints.join(several, "doc_id").select("fp", "lo"))
-    roots = connected_components(links)
-    rooted = keep(unique.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    rooted = _rooted(unique, links)
     best = rooted.join(keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "roots"), "root").select("fp", "component_id")
     return prints.join(best, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def _rooted(unique: DataFrame, links: DataFrame) -> DataFrame:
+    """``unique`` with the root of each fingerprint's component."""
+    roots = connected_components(links)
+    return keep(unique.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_rows: int = LIST_ROWS) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, by the fingerprints of their texts.
+
+    The row with the smallest doc_id stays; of several such (a repeated id) the one whose text has the smallest hash. Rows
+    alike in id and text are one, the one with the smallest hash over all columns. Cases: rows of one id and unlike texts are
+    in groups of their own, and all may stay; a null doc_id ranks last, so it goes if any row of its group has an id, and one of
+    a group of null ids stays; null, empty and wordless texts are near copies of one another; very long texts count whole;
+    an empty table gives no rows; further columns pass through, whatever their names.
+    """
+    names = docs.columns
+    rows = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    key, text = f"c{names.index(id_col)}", F.coalesce(F.col(f"c{names.index(text_col)}").cast("string"), F.lit(""))
+    own = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+    kind = rows.schema[key].dataType.simpleString()
+    prints = rows.select(F.col(key).alias("id"), text.alias("text"), *own).mapInArrow(_carried, f"id {kind}, t1 long, t2 long, fp long")
+    # a text has one fingerprint, so rows alike in id and text are one entry
+    prints = keep(prints.groupBy("id", "t1", "t2", "fp").agg(F.count("*").alias("n")), "prints")
+    unique = keep(prints.select("fp", F.col("fp").alias("node")).distinct(), "unique-prints")
+    rooted = _rooted(unique, near_links(unique, list_rows)).select("fp", "root")
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "t1", "t2")
+    entries = prints.join(rooted, "fp").select("root", rank.alias("rank"), "n")
+    best = keep(entries.groupBy("root").agg(F.min("rank").alias("best")), "stay")
+    gone = entries.join(best, "root").where(~F.col("rank").eqNullSafe(F.col("best"))).select("rank.id", "rank.t1", "rank.t2")
+    again = keep(entries.where("n > 1").join(best, "root").where(F.col("rank").eqNullSafe(F.col("best"))).select("rank.id", "rank.t1", "rank.t2"), "repeated-rows")
+    marked = rows.select("*", *own)
+
+    def of(other: DataFrame):
+        return marked[key].eqNullSafe(other["id"]) & (marked["t1"] == other["t1"]) & (marked["t2"] == other["t2"])
+
+    left = marked.join(gone, of(gone), "left_anti")
+    if not again.isEmpty():
+        several = marked.join(again, of(again), "left_semi")
+        one = several.groupBy(key, "t1", "t2").agg(F.min_by(F.struct(*rows.columns), F.xxhash64(*rows.columns)).alias("r")).select("r.*")
+        single = left.join(again, of(again), "left_anti").select(rows.columns)
+        return single.union(one).toDF(*names)
+    return left.select(rows.columns).toDF(*names)
