@@ -33,7 +33,7 @@ LIKE, OFTEN_CLEAN, CANDIDATES, HELD_AGAINST = 0.5, 0.05, 200, 40_000
 #: Pairs of words learned as insults at most, the commonest first, and pairs they are told from.
 MOST_PAIRS, OTHER_PAIRS = 500, 4000
 #: Units of a generation whose margins a task remembers (it keeps two).
-MEMO_UNITS = 150_000
+MEMO_UNITS = 100_000
 _SIZE = 32
 _ODD, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")

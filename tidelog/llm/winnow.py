@@ -17,7 +17,7 @@ WINDOW, GRAM = 8, 4
 #: Bytes of benchmark text that one pass over the documents looks for; a larger benchmark takes more passes.
 BLOCK_BYTES = 8 << 20
 #: Bytes of document text worked on at once (a longer word or document is taken whole).
-STEP = 1 << 20
+STEP = 1 << 19
 #: Item ids written out in one batch of results, but for a single text's.
 MOST_IDS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -272,8 +272,15 @@ def _runs_array(runs: list[list[tuple[int, int, int, int]]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, i])) for i in range(4)], fields=list(_RUNS.value_type)))
 
 
-def _scan(index: Index, text_at: int, drop_text: bool, hits_only: bool = False):
-    """The columns of a batch (but for the text, if it is dropped) with what was found in their texts."""
+def _without(raw: bytes, runs: list[tuple[int, int, int, int]]) -> str:
+    """A text less its runs."""
+    edges = [0, *(x for r in runs for x in r[2:]), len(raw)]
+    return b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "surrogatepass")
+
+
+def _scan(index: Index, text_at: int, drop_text: bool, hits_only: bool = False, most_items: int | None = None):
+    """The columns of a batch (but for the text, if it is dropped) with what was found in their texts; with ``most_items`` the
+    rows of no more items than that, with ``cut``, the text less its runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = pa.array(index.ids, pa.string())
@@ -289,19 +296,25 @@ def _scan(index: Index, text_at: int, drop_text: bool, hits_only: bool = False):
                 old = [c.slice(at, to - at) for i, c in enumerate(b.columns) if not (drop_text and i == text_at)]
                 offsets = pa.array(np.cumsum([0, *map(len, items)]).astype(np.int32))
                 new = [pa.array(n, pa.int64()), _runs_array(list(runs)), pa.ListArray.from_arrays(offsets, ids.take(pa.array(np.concatenate(items))))]
-                out = pa.RecordBatch.from_arrays(old + new, names=[*(f"c{i}" for i in range(len(old))), "n_words", "runs", "items"])
+                names = [*(f"c{i}" for i in range(len(old))), "n_words", "runs", "items"]
+                if most_items is not None:
+                    texts = b.column(text_at).slice(at, to - at)
+                    cut = [_without(t.as_py().encode("utf-8", "surrogatepass"), r) if r and len(x) <= most_items else t.as_py() for t, r, x in zip(texts, runs, items, strict=True)]
+                    new, names = [*new, pa.array(cut, pa.string())], [*names, "cut"]
+                out = pa.RecordBatch.from_arrays(old + new, names=names)
+                if most_items is not None:
+                    out = out.filter(pa.array([len(x) <= most_items for x in items]))
                 yield out.filter(pa.array([len(r) > 0 for r in runs])) if hits_only else out
                 at = to
 
         for b in batches:
-            found, held, size = [], [], 0
+            held, size, first = [], 0, 0
             for i, t in enumerate(b.column(text_at)):
                 held.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
                 size += len(held[-1])
                 if size >= STEP or i + 1 == b.num_rows:
-                    found += find(held, index)
-                    held, size = [], 0
-            yield from made(b, found)
+                    yield from made(b.slice(first, len(held)), find(held, index))
+                    held, size, first = [], 0, i + 1
 
     return run
 
@@ -311,15 +324,9 @@ def _cut(text_at: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t, runs in zip(b.column(text_at), b.column("runs"), strict=True):
-                text = t.as_py()
-                if runs := runs.as_py():
-                    raw = text.encode("utf-8", "surrogatepass")
-                    edges = [0, *(x for r in runs for x in (r["byte"], r["byte_end"])), len(raw)]
-                    text = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "surrogatepass")
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "cut"])
+            runs = [[tuple(r.values()) for r in x] for x in b.column("runs").to_pylist()]
+            cut = [_without(t.as_py().encode("utf-8", "surrogatepass"), r) if r else t.as_py() for t, r in zip(b.column(text_at), runs, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cut, pa.string())], names=[*b.schema.names, "cut"])
 
     return run
 
@@ -395,14 +402,19 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     rows of their own; very long texts are worked on whole; an empty table on either side gives rows without hits;
     further columns keep their names, whatever these are.
     """
+    return _found(docs, _blocks(benchmark, item_col, item_text_col, block_bytes), id_col, text_col, with_docs)
+
+
+def _found(docs: DataFrame, blocks: list[Callable[[], Index]], id_col: str, text_col: str, with_docs: bool, most_items: int | None = None) -> DataFrame:
     cols = docs.columns if with_docs else [id_col, text_col]
     df, text_at = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]), cols.index(text_col)
     out = [*(cols if with_docs else [id_col]), "n_words", "runs", "items"]
     types = [t for i, (_, t) in enumerate(df.dtypes) if with_docs or i != text_at]
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    cut = [] if most_items is None else ["cut"]
     if len(blocks) <= 1:
         index = blocks[0]() if blocks else Index([])
-        return df.mapInArrow(_scan(index, text_at, not with_docs), ", ".join([*(f"c{i} {t}" for i, t in enumerate(types)), _ADDED])).toDF(*out)
+        schema = [*(f"c{i} {t}" for i, t in enumerate(types)), _ADDED, *(f"{c} string" for c in cut)]
+        return df.mapInArrow(_scan(index, text_at, not with_docs, most_items=most_items), ", ".join(schema)).toDF(*out, *cut)
     df = keep(df.withColumn("rid", F.monotonically_increasing_id()), "winnow")
     rows, found = df.select("rid", f"c{text_at}"), None
     for block in blocks:
@@ -412,7 +424,11 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     found = found.groupBy(F.col("c0").alias("rid")).agg(F.max("n_words").alias("n_words"), *held)
     found = found.mapInArrow(_joined_runs, f"rid long, {_ADDED}")
     left = [f"c{i}" for i in range(len(cols)) if with_docs or i != text_at]
-    return df.join(found, "rid").select(*left, "n_words", "runs", "items").toDF(*out)
+    joined = df.join(found, "rid").select(*left, "n_words", "runs", "items")
+    if cut:
+        joined = joined.where(F.size("items") <= most_items)
+        joined = joined.mapInArrow(_cut(text_at), ", ".join(f"{c} {t}" for c, t in [*joined.dtypes, ("cut", "string")]))
+    return joined.toDF(*out, *cut)
 
 
 def _joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,7 +441,7 @@ def n_hit() -> F.Column:
     return F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r.word_end - r.word)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, most_items: int = 1, text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, most_items: int = 1, text_col: str = "text", chars_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the documents that hold windows of over ``most_items`` items.
 
     From the others the hit words are cut out, and ``chars_col``, where it exists, is set anew for a text that
@@ -434,11 +450,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, most_items: int = 1, te
     benchmark changes none; further columns pass through, whatever their names.
     """
     names = docs.columns
-    text_at = names.index(text_col)
-    found = find_benchmark(docs, benchmark, text_col=text_col, with_docs=True, **options).toDF(*[f"c{i}" for i in range(len(names))], "n_words", "runs", "items")
-    found = found.where(F.size("items") <= most_items).select(*[f"c{i}" for i in range(len(names))], "runs")
-    schema = ", ".join(f"{c} {t}" for c, t in [*found.dtypes, ("cut", "string")])
-    found = found.mapInArrow(_cut(text_at), schema)
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    found = _found(docs, blocks, names[0], text_col, True, most_items).toDF(*[f"c{i}" for i in range(len(names))], "n_words", "runs", "items", "cut")
     out = []
     for i, c in enumerate(names):
         value = F.col("cut") if c == text_col else F.col(f"c{i}")
