@@ -68,7 +68,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_dir: str | None = None,
     if (stored := _stored(spark, cache_dir, version)) is not None:
         first = first.join(stored, "digest", "left_anti")
     first = first.select(F.col("digest").alias("d"), F.col("doc_id").alias("i"))
-    misses = rows.join(first.hint("shuffle_hash"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
+    misses = rows.join(first, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
     new = misses.select("digest", "text").mapInArrow(_counter(tokenizer), SCHEMA)
     new.write.mode("append").parquet(f"{cache_dir}/{version}")
     counts = _stored(spark, cache_dir, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
