@@ -2,10 +2,11 @@ import random
 import re
 import time
 
+import numpy as np
 import xxhash
 from samples import prose
 
-from tidelog.llm.repeats import GRAM, LEAST_WORDS, RAGGED, WINDOW, remove_repeats, repeated_passages, units
+from tidelog.llm.repeats import GRAM, LEAST_WORDS, RAGGED, WINDOW, remove_repeats, repeated_passages, taken, units
 
 
 def plain_units(text):
@@ -116,7 +117,7 @@ def test_passages_inside_sentences(spark):
 
 
 def taken_grams(words):
-    """Places of grams of GRAM words whose number is least in some WINDOW of them, by whole numbers."""
+    """Places of grams of GRAM words whose number is least in some WINDOW of them, by whole numbers, window by window."""
     top, numbers = (1 << 64) - 1, []
     for i in range(len(words) - GRAM + 1):
         x = 0
@@ -127,7 +128,9 @@ def taken_grams(words):
     out = set()
     for i in range(len(numbers) - WINDOW + 1):
         part = numbers[i : i + WINDOW]
-        out |= {i + j for j, x in enumerate(part) if x == min(part)}
+        least = [i + j for j, x in enumerate(part) if x == min(part)]
+        if not out & set(least):
+            out.add(least[-1])
     return sorted(out)
 
 
@@ -196,6 +199,15 @@ def test_the_whole_query_against_brute_force(spark):
     assert {w[3] == 0 for w in want} == {True, False} and any(w[4] < LEAST_WORDS for w in want)
 
 
+def test_every_window_has_its_gram():
+    """Also where grams repeat, and few are taken there."""
+    rng = random.Random(6)
+    for words in ([rng.choice("ab") for _ in range(400)], ["a"] * 300, list("abc") * 100, [str(i) for i in range(200)], [*map(str, range(60)), *["x"] * 120, *map(str, range(60))]):
+        hashes = np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in words], np.uint64)
+        assert taken(hashes).tolist() == taken_grams(words)
+    assert len(taken(np.full(1000, 7, np.uint64))) <= 1000 // WINDOW
+
+
 def test_time_goes_with_the_text(spark):
     """Long rows of marks, and of repeats, in one text."""
     dots, many = "." * 1_000_000 + "a", "On and on. Off.\n" * 60_000

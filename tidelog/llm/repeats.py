@@ -77,7 +77,7 @@ class _Hashes(dict):
 
 def taken(h: np.ndarray) -> np.ndarray:
     """Places of the grams of GRAM words that are least of WINDOW in a row, from the hashes of the words: two texts that
-    share GRAM + WINDOW - 1 words take the same gram there."""
+    share GRAM + WINDOW - 1 words take the same gram there. Of equal grams, the last in a window, and no more than windows need."""
     n = len(h) - GRAM + 1
     if n < WINDOW:
         return np.zeros(0, np.int64)
@@ -93,7 +93,22 @@ def taken(h: np.ndarray) -> np.ndarray:
     most = np.zeros(n, np.uint64)
     for j in range(WINDOW):
         np.maximum(most[j : j + len(least)], least, out=most[j : j + len(least)])
-    return np.flatnonzero(most == x)
+    at = np.flatnonzero(most == x)
+    first = np.flatnonzero(np.r_[True, x[at[1:]] != x[at[:-1]]])
+    last = np.r_[first[1:], len(at)]
+    stays = np.ones(len(at), bool)
+    for a, b in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist(), strict=True):
+        # a repetitive stretch: every window whose least it is must hold one of them
+        own = at[a:b]
+        low = max(0, int(own[0]) - WINDOW + 1)
+        windows = low + np.flatnonzero(least[low : own[-1] + 1] == x[own[0]])
+        stays[a:b] = False
+        k = 0
+        while k < len(windows):
+            i = int(np.searchsorted(own, windows[k] + WINDOW - 1, "right")) - 1
+            stays[a + i] = True
+            k = max(k + 1, int(np.searchsorted(windows, own[i], "right")))
+    return at[stays]
 
 
 def _grams(text: str, hashes: _Hashes) -> Iterator[tuple[int, int, int, int, int, str]]:
