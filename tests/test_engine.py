@@ -8,10 +8,10 @@ from tidelog.model import Conflict, InvalidRecord, KeyNotFound, ReadOnly, Replic
 from tidelog.operators.maintenance import expired_segments, flush_needed, select_compaction
 from tidelog.operators.transactions import Registry
 from tidelog.plans.engine import Engine, retry
-from tidelog.plans.service import Service, Shell
+from tidelog.plans.service import Client, Service, Shell
 from tidelog.sources.config import Config
 from tidelog.sources.store import Manifest, Segment, Store, Table
-from tidelog.streaming.replication import Primary, Replica, State, read_log_stream, stream_live
+from tidelog.streaming.replication import Manager, Primary, Replica, State, batches_of, read_versions
 
 SMALL = Config(table_files=2, max_memtables=2)
 
@@ -270,8 +270,7 @@ def test_replica_catches_up_in_order(spark, root, tmp_path):
         assert copy.applied_seq == 8
         with pytest.raises(ReplicationError):
             copy.apply(log.withColumn("seq", F.col("seq") + 20))
-        assert stream_live(spark, root, "lively", f"{tmp_path}/cp2") == e.scan().count()
-        assert read_log_stream(spark, root).isStreaming
+        assert read_versions(spark, root).isStreaming
 
 
 def test_primary_sessions(spark, root):
@@ -324,3 +323,195 @@ def test_tombstones_of_a_large_load_outlive_compaction(spark, root, hours):
         e.compact_range()
         assert e.records().count() == (10_001 if hours else 0)
         assert e.contains(b"k77") == bool(hours) and (not hours or e.is_deleted(b"k77"))
+
+
+@pytest.mark.parametrize("flushed", [False, True])
+def test_a_copy_applies_what_was_committed_only(spark, root, tmp_path, flushed):
+    """A writer that dies between its segment and the commit leaves a file that no copy ever sees, whatever its numbers."""
+    copy = Replica(spark, root, f"{root}-copy", f"{tmp_path}/cp") if not flushed else None
+    with Engine(spark, root, SMALL.updated(orphan_age_s=0)) as e:
+        e.apply_batch([Write.put(b"a", b"1"), Write.delete(b"gone")])
+        left = e.store.write_segment(e.manifest, [Write.put(b"ghost", b"1")])
+        if copy:
+            assert copy.catch_up() == 2
+        e.apply_batch([Write.put(b"b", b"1"), Write.put(b"a", b"2")])
+        e.store.write_numbered(spark.createDataFrame([(9, "PUT", bytearray(b"ghost2"), bytearray(b"1"))], "seq long, op string, key binary, value binary"))
+        if flushed:
+            e.flush()
+            e.compact_range()
+        copy = copy or Replica(spark, root, f"{root}-copy", f"{tmp_path}/cp")
+        assert copy.catch_up() == 4
+        assert items(copy.engine.scan()) == items(e.scan()) == [(b"a", b"2"), (b"b", b"1")]
+        assert copy.engine.is_deleted(b"gone") and e.store.files.exists(left.path)
+        assert e.store.repair() == 2 and not e.store.files.exists(left.path)
+        assert items(e.scan()) == [(b"a", b"2"), (b"b", b"1")] and copy.poll() == 4
+    with Engine(spark, root) as again:
+        assert again.stats.recovery["corrupt"] == 0
+        again.store.files.create(again.store._name(again.manifest.version + 1), b"{")
+    with Engine(spark, root) as again:
+        assert again.stats.recovery["corrupt"] == 1
+
+
+def test_a_young_file_is_taken_for_a_commit_under_way(spark, root):
+    with Engine(spark, root) as e:
+        path = e.store.write_segment(e.manifest, [Write.put(b"k", b"1")]).path
+        assert e.store.repair() == 0 and e.store.files.exists(path)
+        assert e.store.repair(time.time() + 3700) == 1 and not e.store.files.exists(path)
+
+
+def test_acknowledgements_reach_the_primary(spark, root, tmp_path):
+    with Engine(spark, root, SMALL) as e:
+        primary = Primary(e)
+        copy = Replica(spark, root, f"{root}-copy", f"{tmp_path}/cp", primary, "one", batch_bytes=1)
+        for i in range(3):
+            e.apply_batch([Write.put(b"k%d" % i, b"1"), Write.put(b"l%d" % i, b"1")])
+        e.flush()
+        assert primary.sessions["one"].last_ack == 0
+        assert copy.catch_up() == 6 and primary.sessions["one"].last_ack == 6
+        assert copy.counters["batches"] == 3 and copy.counters["apply_ns_max"] >= copy.counters["apply_ns_min"] > 0
+        step = ["applying", "syncing", "acknowledging"]
+        assert copy.state.history == ["connecting", *(["streaming", *step] * 3), "waiting", "streaming", "waiting"]
+        assert primary.trim_log() == 2 and primary.check_sessions(time.time() + 31) == ["one"]
+        copy.poll()
+        assert primary.sessions["one"].connected
+        late = Replica(spark, root, f"{root}-late", f"{tmp_path}/cp2", primary, "late")
+        with pytest.raises(ReplicationError, match="retention"):
+            late.poll()
+        assert late.state.now == "error" and late.counters["errors"] == 1
+
+
+def test_batches_of_commits():
+    commits = [Segment(f"s{i}", i, i, 1, n, 0.0) for i, n in enumerate([10, 10, 100, 5, 5, 5])]
+    assert [[s.path for s in b] for b in batches_of(commits, 15)] == [["s0"], ["s1"], ["s2"], ["s3", "s4", "s5"]]
+    assert [len(b) for b in batches_of(commits, 1 << 20)] == [6] and list(batches_of([], 10)) == []
+
+
+def test_roles(spark, root, tmp_path):
+    with Engine(spark, root, SMALL) as e, Engine(spark, f"{root}-copy", SMALL, read_only=True) as c:
+        primary = Manager(e, "PRIMARY")
+        primary.start(every_s=0.05)
+        service = Service(e, primary)
+        node = Manager(c, "REPLICA", root, f"{tmp_path}/cp", primary.primary, "one")
+        node.start()
+        e.apply_batch([Write.put(b"a", b"1")])
+        deadline = time.time() + 60
+        while node.status()["applied_seq"] < 1 and time.time() < deadline:
+            time.sleep(0.2)
+        assert node.status()["state"] in ("waiting", "streaming") and node.node_info()["read_only"] and c.get(b"a") == b"1"
+        (copy,) = service.get_node_info()["replicas"]
+        assert copy["id"] == "one" and copy["last_ack"] == 1 and service.get_node_info()["role"] == "PRIMARY"
+        with pytest.raises(ReadOnly):
+            c.put(b"x", b"1")
+        e.apply_batch([Write.put(b"b", b"1")])
+        primary.stop()
+        node.promote()
+        assert node.role == "PRIMARY" and c.get(b"b") == b"1"
+        c.put(b"x", b"1")
+        node.stop()
+        assert not node.running and not primary.running
+        with pytest.raises(InvalidRecord):
+            Manager(e, "OTHER")
+
+
+def test_client_tries_again(spark, root):
+    with Engine(spark, root, SMALL) as e:
+        service = Service(e)
+        tries = []
+
+        class Shaky(Service):
+            def put(self, key, value, sync=False):
+                tries.append(key)
+                if len(tries) < 3:
+                    raise ConnectionError("lost")
+                return super().put(key, value, sync)
+
+            def get(self, key):
+                raise TimeoutError("slow")
+
+        client = Client(Shaky(e), retries=3, first_s=0.001)
+        assert client.put(b"k", b"value", sync=True) and len(tries) == 3
+        with pytest.raises(TimeoutError):
+            client.get(b"k")
+        got = client.metrics.get()
+        assert (got["requests"], got["succeeded"], got["failed"]) == (7, 1, 6) and got["calls"]["put"]["bytes_sent"] == 18
+        assert Client(service, [Shaky(e)], retries=1, first_s=0.001).get(b"k") == (b"value", True)
+        tries.clear()
+        with pytest.raises(ConnectionError):
+            Client(Shaky(e), retries=1, first_s=0.001).put(b"k", b"v")
+        with pytest.raises(InvalidRecord):
+            client.put(b"", b"v")
+        client.metrics.reset()
+        assert client.metrics.get()["requests"] == 0
+
+
+def test_a_commit_that_fails_counts_as_aborted(spark, root, monkeypatch):
+    with Engine(spark, root, SMALL) as e:
+        tx = e.begin()
+        tx.put(b"k", b"1")
+        monkeypatch.setattr(e, "_commit_transaction", lambda _: (_ for _ in ()).throw(StoreError("disk full")))
+        with pytest.raises(StoreError):
+            tx.commit()
+        monkeypatch.undo()
+        assert e.transaction_stats() == {"started": 1, "completed": 0, "aborted": 1, "active": 0} and tx.closed
+        assert not e.contains(b"k")
+        # the writer's turn is over
+        e.begin(timeout=1).rollback()
+
+
+def test_numbers_taken_by_another_writer(spark, root):
+    with Engine(spark, root, SMALL) as a:
+        a.put(b"mine", b"1")
+        with Engine(spark, root, SMALL) as b:
+            b.apply_batch([Write.put(b"theirs", b"1")])
+        with pytest.raises(Conflict):
+            a.sync()
+        assert a.put(b"mine", b"2") == 2
+        a.sync()
+        assert items(a.scan()) == [(b"mine", b"2"), (b"theirs", b"1")]
+
+
+def test_deletions_leave_the_manifest_as_it_is(spark, root):
+    sizes = []
+    for n in (10_000, 10_001, 300_000):
+        with Engine(spark, f"{root}{n}", SMALL) as e:
+            key = F.concat(F.lit("k"), F.col("id").cast("string")).cast("binary")
+            e.apply_frame(spark.range(n).select(F.lit("DELETE").alias("op"), key.alias("key"), F.lit(None).cast("binary").alias("value")))
+            e.apply_batch([Write.delete(b"d%d" % i) for i in range(1000)])
+            e.flush()
+            e.compact_range()
+            assert e.records().count() == n + 1000
+            sizes.append(len(e.manifest.dumps()))
+            e.update_config(tombstone_retention_h=0.0)
+            e.compact_range()
+            assert e.records().count() == 0
+    assert max(sizes) - min(sizes) < 100
+
+
+def test_tombstones_without_a_time_stay_by_level(spark, root):
+    """Such as a store of before may hold."""
+    for most, left in ((1, 1), (0, 0)):
+        with Engine(spark, f"{root}{most}", SMALL.updated(max_level_with_tombstones=most)) as e:
+            e.apply_batch([Write.delete(b"k")])
+            m = e.manifest
+            undated = e.store.stored([s.path for s in m.segments]).withColumn("deleted_at", F.lit(None).cast("long"))
+            table = e.store.write_table(undated, 0, 1, m.config)
+            e.store.commit(m, tables=(table,), next_table=2, flushed_seq=1)
+            e.compact_range()
+            assert e.records().count() == left
+
+
+def test_compaction_in_the_background(spark, root):
+    with Engine(spark, root, SMALL.updated(memtable_age_s=1)) as e:
+        for i in range(3):
+            e.apply_batch([Write.put(b"k%d" % i, b"1")])
+            e.flush()
+        kinds = [r.kind for r in e.layers().collect()]
+        assert kinds == ["level 0"] * 3
+        e.start_compaction(0.05)
+        deadline = time.time() + 60
+        while any(t.level == 0 for t in e.manifest.tables) and time.time() < deadline:
+            time.sleep(0.1)
+        e.stop_compaction()
+        assert {t.level for t in e.manifest.tables} != {0} and e.scan().count() == 3
+        e.put(b"z", b"1")
+        assert [r.kind for r in e.layers().collect()][0] == "memory"

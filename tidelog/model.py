@@ -19,6 +19,8 @@ LOG = T.StructType([
     T.StructField("key", T.BinaryType(), False),
     T.StructField("value", T.BinaryType(), True),
 ])
+#: Records as files hold them: with the time of a deletion in microseconds, by which its tombstone is retained.
+STORED = T.StructType([*LOG.fields, T.StructField("deleted_at", T.LongType(), True)])
 KV = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType())])
 BATCHES = T.StructType([
     T.StructField("base_seq", T.LongType()),

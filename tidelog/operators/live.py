@@ -116,20 +116,25 @@ def following(view: DataFrame, key: Bytes, n: int = 1) -> DataFrame:
     return view.where(F.col("key") > lit(key)).orderBy("key").limit(n)
 
 
-def with_next_key(view: DataFrame, partitions: int = 64) -> DataFrame:
-    """Each row with ``next_key``, null for the last.
+def _followed(rows: DataFrame, by: str, name: str, partitions: int | None) -> DataFrame:
+    """Each row with the next value of ``by`` as ``name``, null for the last.
 
-    A window over all keys would be one task. Keys are dealt by range instead; each range is ordered by itself and
-    ends with the first key of a later one, of which there are as many as ranges.
+    A window over all would be one task. Rows are dealt by range instead, in as many ranges as a shuffle has partitions (adaptive
+    execution joins small ones, and an outlying value moves no others); each range is ordered by itself and
+    ends with the first value of a later one, of which there are as many as ranges.
     """
-    dealt = view.repartitionByRange(partitions, "key").withColumn("range", F.spark_partition_id())
-    dealt = keep(dealt, "key-ranges")
-    firsts = dealt.groupBy("range").agg(F.min("key").alias("first"))
-    after = F.lead("first").over(W.orderBy("range"))
-    heads = firsts.select("range", after.alias("later"))
-    inside = F.lead("key").over(W.partitionBy("range").orderBy("key"))
+    dealt = rows.repartitionByRange(partitions, by) if partitions else rows.repartitionByRange(by)
+    dealt = keep(dealt.withColumn("range", F.spark_partition_id()), "ranges")
+    firsts = dealt.groupBy("range").agg(F.min(by).alias("first"))
+    heads = firsts.select("range", F.lead("first").over(W.orderBy("range")).alias("later"))
+    inside = F.lead(by).over(W.partitionBy("range").orderBy(by))
     out = dealt.withColumn("inside", inside).join(F.broadcast(heads), "range")
-    return out.select(*view.columns, F.coalesce("inside", "later").alias("next_key"))
+    return out.select(*rows.columns, F.coalesce("inside", "later").alias(name))
+
+
+def with_next_key(view: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Each row with ``next_key``, null for the last."""
+    return _followed(view, "key", "next_key", partitions)
 
 
 def entries_from(log: DataFrame, seq: int) -> DataFrame:
@@ -148,18 +153,7 @@ def last_of_batch(ops: DataFrame, batch: str = "batch_id", position: str = "pos"
     return ops.groupBy(batch, "key").agg(last).select(batch, "key", f"r.{position}", "r.op", "r.value")
 
 
-def sequence_gaps(log: DataFrame, blocks: int = 1024) -> DataFrame:
-    """``(after_seq, next_seq)`` around each hole in the sequence.
-
-    Found without ordering the log in one task: sequence numbers fall into blocks of equal width, each block is
-    looked at by itself, and the blocks' ends, as many as there are blocks, are compared last.
-    """
-    lo, hi = log.agg(F.min("seq"), F.max("seq")).first()
-    width = 1 if lo is None else max(1, -(-(hi - lo + 1) // blocks))
-    b = F.floor((F.col("seq") - F.lit(lo or 0)) / width)
-    rows = log.select("seq", b.alias("b"))
-    before = F.lag("seq").over(W.partitionBy("b").orderBy("seq"))
-    inner = rows.select(before.alias("after_seq"), F.col("seq").alias("next_seq"))
-    ends = rows.groupBy("b").agg(F.min("seq").alias("next_seq"), F.max("seq").alias("hi"))
-    outer = ends.select(F.lag("hi").over(W.orderBy("b")).alias("after_seq"), "next_seq")
-    return inner.union(outer).where(F.col("next_seq") > F.col("after_seq") + 1)
+def sequence_gaps(log: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``(after_seq, next_seq)`` around each hole in the sequence; no record of any number is one."""
+    rows = log.where(F.col("seq").isNotNull()).select(F.col("seq").alias("after_seq"))
+    return _followed(rows, "after_seq", "next_seq", partitions).where(F.col("next_seq") > F.col("after_seq") + 1)

@@ -9,10 +9,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.keys import Bytes, in_range
-from tidelog.model import DELETE
-from tidelog.operators.live import latest
+from tidelog.functions.keys import Bytes, in_range, lit
+from tidelog.model import DELETE, STORED
 from tidelog.sources.config import Config
+from tidelog.session import keep as kept
 from tidelog.sources.store import Manifest, Segment, Store, Table
 
 # tombstone policies: Columns over (key, op, deleted_at, forced, level) that say whether a row stays
@@ -47,13 +47,19 @@ def flush_needed(size: int, oldest: float, now: float, config: Config) -> bool:
     return size >= config.memtable_bytes or (size > 0 and now - oldest > config.memtable_age_s)
 
 
+def newest(records: DataFrame) -> DataFrame:
+    """The newest stored record of each key."""
+    fields = [c for c in STORED.fieldNames() if c != "key"]
+    return records.groupBy("key").agg(F.max_by(F.struct(*fields), "seq").alias("r")).select("key", "r.*")
+
+
 def flush(store: Store, m: Manifest) -> Manifest:
     """The newest record of each key of the segments not yet flushed becomes a level-0 table, tombstones included."""
     open_ = [s for s in m.segments if s.max_seq > m.flushed_seq]
     if not open_:
         return m
-    fresh = store._read([s.path for s in open_]).where(F.col("seq") > m.flushed_seq)
-    table = store.write_table(latest(fresh), 0, m.next_table, m.config, sum(s.size for s in open_))
+    fresh = store.stored([s.path for s in open_]).where(F.col("seq") > m.flushed_seq)
+    table = store.write_table(newest(fresh), 0, m.next_table, m.config, sum(s.size for s in open_))
     upto = max(s.max_seq for s in open_)
     return store.commit(m, tables=m.tables + ((table,) if table else ()), next_table=m.next_table + 1, flushed_seq=upto)
 
@@ -118,31 +124,28 @@ def compact(store: Store, m: Manifest, task: Task, now: float | None = None, kee
     """Merge the task's tables, newest record first, into one table of its target level.
 
     A tombstone may go only when its retention is over and no table outside the task can hold an older version
-    of its key: then the task's inputs include all that overlap at the target level and below.
+    of its key: then the task's inputs include all that overlap at the target level and below. Its age is that of its
+    record; one without a time stays down to ``max_level_with_tombstones``.
     """
     now = time.time() if now is None else now
     if task.move:
         only = task.inputs[0]
         return store.commit(m, tables=tuple(replace(t, level=task.target) if t == only else t for t in m.tables))
-    merged = latest(store._read([t.path for t in task.inputs]))
+    merged = newest(store.stored([t.path for t in task.inputs]))
     paths = {t.path for t in task.inputs}
     firsts, lasts = [t.first_key for t in task.inputs if t.first_key], [t.last_key for t in task.inputs if t.last_key]
     below = [t for t in m.tables if t.path not in paths and firsts and t.overlaps(min(firsts), max(lasts))]
-    oldest = now - m.config.tombstone_retention_h * 3600
-    held = {k: v for k, v in m.deletions.items() if v[1] or v[0] > oldest}
-    bulk_loads = tuple(x for x in m.bulk_loads if x[2] > oldest)
     if keep is not None:
         merged = keep(merged)
     elif not below:
-        young = store.spark.createDataFrame([(bytearray.fromhex(k),) for k in held], "key binary")
-        gone = (F.col("op") == DELETE) & F.col("held").isNull()
-        for first, last, _ in bulk_loads:
-            gone &= ~F.col("seq").between(first, last)
-        marked = merged.join(young.withColumn("held", F.lit(True)), "key", "left")
-        merged = marked.where(~gone).drop("held")
+        dated = merged.withColumnRenamed("deleted_at", "micros").withColumn("deleted_at", F.timestamp_micros("micros"))
+        dated = dated.withColumn("forced", F.lower(F.hex("key")).isin(list(m.forced)) if m.forced else F.lit(False))
+        undated = F.col("deleted_at").isNull() & keep_by_level(F.lit(task.target), m.config.max_level_with_tombstones)
+        stays = keep_tracked(F.timestamp_micros(F.lit(int(now * 1e6))), m.config.tombstone_retention_h) | undated
+        merged = dated.where(stays).drop("deleted_at", "forced").withColumnRenamed("micros", "deleted_at")
     table = store.write_table(merged, task.target, m.next_table, m.config, sum(t.size for t in task.inputs))
     tables = tuple(t for t in m.tables if t.path not in paths) + ((table,) if table else ())
-    return store.commit(m, tables=tables, next_table=m.next_table + 1, obsolete=m.obsolete + tuple(sorted(paths)), deletions=held, bulk_loads=bulk_loads)
+    return store.commit(m, tables=tables, next_table=m.next_table + 1, obsolete=m.obsolete + tuple(sorted(paths)))
 
 
 # log retention
@@ -167,4 +170,27 @@ def manage_retention(store: Store, m: Manifest, now: float | None = None, most:
     if not gone:
         return m, 0
     left = tuple(s for s in m.segments if s not in gone)
-    return store.commit(m, segments=left, obsolete=m.obsolete + tuple(s.path for s in gone)), len(gone)
+    trimmed = max(m.trimmed_seq, *(s.max_seq for s in gone))
+    return store.commit(m, segments=left, trimmed_seq=trimmed, obsolete=m.obsolete + tuple(s.path for s in gone)), len(gone)
+
+
+def overlap_pairs(files: DataFrame, id_col: str = "part", partitions: int | None = None) -> DataFrame:
+    """``(a, b)``, a < b: every two files whose closed ranges of (first_key, last_key) meet. Files without keys meet none.
+
+    An equality join on bins of the first keys: a file starts in one bin, reaches into those up to its last key, and is paired
+    in each with the files that start there within its range. So a pair is looked at once, and files that lie apart are not.
+    """
+    rows = files.where(F.col("first_key").isNotNull() & F.col("last_key").isNotNull()).select(F.col(id_col).alias("id"), "first_key", "last_key")
+    dealt = rows.repartitionByRange(partitions, "first_key") if partitions else rows.repartitionByRange("first_key")
+    dealt = kept(dealt.withColumn("bin", F.spark_partition_id()), "file-ranges")
+    # as many as partitions
+    lows = [(r.bin, r.low) for r in dealt.groupBy("bin").agg(F.min("first_key").alias("low")).orderBy("bin").collect()]
+    if not lows:
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    edges = F.array(*[F.struct(F.lit(b).alias("bin"), lit(bytes(low) if isinstance(low, bytearray) else low).alias("low")) for b, low in lows])
+    reached = F.filter(edges, lambda e: (e["bin"] >= F.col("bin")) & (e["low"] <= F.col("last_key")))
+    spread = dealt.select("id", "first_key", "last_key", F.explode(F.transform(reached, lambda e: e["bin"])).alias("bin"))
+    x, y = spread.alias("x"), dealt.alias("y")
+    after = (F.col("y.first_key") > F.col("x.first_key")) | ((F.col("y.first_key") == F.col("x.first_key")) & (F.col("y.id") > F.col("x.id")))
+    pairs = x.join(y, (F.col("x.bin") == F.col("y.bin")) & after & (F.col("y.first_key") <= F.col("x.last_key")))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections import defaultdict
 
@@ -80,6 +81,33 @@ def least_acknowledged(replicas: DataFrame) -> DataFrame:
     return replicas.where("connected and active").agg(F.min("last_ack").alias("min_ack"))
 
 
+class CallMetrics:
+    """Calls of one client: how many, how many failed, how long they took, and bytes each way."""
+
+    def __init__(self) -> None:
+        self._lock, self.calls = threading.Lock(), {}
+
+    def record(self, name: str, latency_ns: int, ok: bool, sent: int = 0, received: int = 0) -> None:
+        with self._lock:
+            c = self.calls.setdefault(name, {"requests": 0, "succeeded": 0, "failed": 0, "latency_ns": 0, "bytes_sent": 0, "bytes_received": 0})
+            for key, n in (("requests", 1), ("succeeded", int(ok)), ("failed", int(not ok)), ("latency_ns", latency_ns), ("bytes_sent", sent), ("bytes_received", received)):
+                c[key] += n
+
+    def get(self) -> dict:
+        """Totals, the mean latency, and the same for each call."""
+        with self._lock:
+            calls = {name: dict(c) for name, c in self.calls.items()}
+        keys = ("requests", "succeeded", "failed", "latency_ns", "bytes_sent", "bytes_received")
+        total = {k: sum(c[k] for c in calls.values()) for k in keys}
+        for c in (total, *calls.values()):
+            c["mean_ns"] = c["latency_ns"] // max(1, c["requests"])
+        return total | {"calls": calls}
+
+    def reset(self) -> None:
+        with self._lock:
+            self.calls = {}
+
+
 class Collector:
     """Counts of one driver; what the store reports as its own statistics."""
 

@@ -375,10 +375,7 @@ def table_info(spark, sf_dir):
 
 @query("SELECT a.part AS a, b.part AS b FROM files a JOIN files b ON a.part < b.part AND a.last_key >= b.first_key AND a.first_key <= b.last_key")
 def overlap_pairs(spark, sf_dir):
-    f = files(spark, sf_dir)
-    a, b = f.alias("a"), f.alias("b")
-    meet = keys.overlaps(F.col("a.first_key"), F.col("a.last_key"), F.col("b.first_key"), F.col("b.last_key"))
-    return a.join(b, (F.col("a.part") < F.col("b.part")) & meet).select(F.col("a.part").alias("a"), F.col("b.part").alias("b"))
+    return M.overlap_pairs(files(spark, sf_dir))
 
 
 @query("SELECT CAST(part % 4 AS INTEGER) AS level, CAST(sum(size) AS BIGINT) AS size, count(*) AS files FROM files GROUP BY 1")
@@ -437,9 +434,12 @@ def record_codec(spark, sf_dir):
     return out.select("r.seq", "r.op", F.col("r.key").cast("string").alias("key"), F.col("r.value").cast("string").alias("value"))
 
 
-@query()
+@query("SELECT seq, seq % 7 <> 0 AND seq % 11 <> 0 AS ok FROM log WHERE value IS NOT NULL")
 def crc32_check(spark, sf_dir):
+    """Values against their checksums, after each seventh value and each eleventh checksum was damaged."""
     rows = log(spark, sf_dir).where("value IS NOT NULL").withColumn("checksum", F.crc32("value"))
+    rows = rows.withColumn("value", F.when(F.col("seq") % 7 == 0, F.concat("value", F.lit("!"))).otherwise(F.col("value")))
+    rows = rows.withColumn("checksum", F.when(F.col("seq") % 11 == 0, F.col("checksum").bitwiseXOR(F.lit(1).cast("long"))).otherwise(F.col("checksum")))
     return rows.select("seq", records.checksum_ok("value", "checksum").alias("ok"))
 
 
@@ -535,6 +535,17 @@ def kv_conversations(spark, sf_dir):
     return scan(table(spark, sf_dir, "conversations").select(key.alias("key"), F.col("text").alias("value")), prefix="conv:00000")
 
 
+_TURN = "'conv:' || lpad(CAST(conv_id AS VARCHAR), 6, '0') || ':' || lpad(CAST(turn AS VARCHAR), 4, '0')"
+
+
+@query(f"SELECT {_TURN} AS key, text AS value, lead({_TURN}) OVER (ORDER BY {_TURN}) AS next_key FROM conversations", bare=True)
+def kv_conversations_all(spark, sf_dir):
+    """Every turn, with the key of the one after it."""
+    key = F.concat(F.lit("conv:"), F.lpad(F.col("conv_id").cast("string"), 6, "0"), F.lit(":"), F.lpad(F.col("turn").cast("string"), 4, "0"))
+    rows = scan(table(spark, sf_dir, "conversations").select(key.alias("key"), F.col("text").alias("value")), prefix="conv:", ordered=False)
+    return L.with_next_key(rows)
+
+
 @query("""SELECT path, level, sequence, "timestamp" FROM (VALUES
 ('tables/0_000001_00000000000000000042', CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(42 AS BIGINT)), ('3_000120_00000000000000000007.sst', 3, 120, 7),
 ('other.parquet', NULL, NULL, NULL)) AS t(path, level, sequence, "timestamp")""", bare=True)
@@ -561,15 +572,17 @@ def engine_live(spark, sf_dir):
 
 @query("SELECT key, value FROM live")
 def streaming_apply(spark, sf_dir):
-    """The events as a stream, folded into the newest record of each key until all is read."""
+    """The events as a stream, appended to a store batch by batch, and read."""
+    from tidelog.sources.store import Store
+    from tidelog.streaming.replication import apply_stream
+
     schema = table(spark, sf_dir, "events").schema
     stream = event_log(spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*"))
     out = scratch_path(spark, "stream")
-    newest = F.max_by(F.struct("seq", "op", "value"), "seq").alias("r")
-    agg = stream.groupBy("key").agg(newest).select("key", "r.op", "r.value")
-    writer = agg.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/view"))
-    writer.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/view").where("op = 'PUT'").select("key", "value")
+    store = Store(spark, f"{out}/store")
+    apply_stream(store, stream.select("seq", "op", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")), f"{out}/checkpoint")
+    rows = L.live(store.records(store.manifest()))
+    return rows.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
 def queries() -> dict[str, Query]:

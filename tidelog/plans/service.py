@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
-from tidelog.model import InvalidRecord, KeyNotFound, StoreError, Write, checked_batch
+from tidelog.model import Conflict, InvalidRecord, KeyNotFound, StoreError, Write, checked_batch
+from tidelog.operators.stats import CallMetrics
 from tidelog.operators.transactions import Registry
-from tidelog.plans.engine import Engine
+from tidelog.plans.engine import Engine, retry
+from tidelog.streaming.replication import Manager
 
 
 def _key(key: bytes) -> bytes:
@@ -16,8 +19,8 @@ def _key(key: bytes) -> bytes:
 class Service:
     """One method for each call; absent keys are told by a flag, everything else that is wrong by an exception."""
 
-    def __init__(self, engine: Engine, role: str = "STANDALONE", primary: str = ""):
-        self.engine, self.registry, self.role, self.primary = engine, Registry(engine), role, primary
+    def __init__(self, engine: Engine, manager: Manager | None = None):
+        self.engine, self.registry, self.manager = engine, Registry(engine), manager or Manager(engine)
 
     def get(self, key: bytes) -> tuple[bytes, bool]:
         try:
@@ -91,20 +94,42 @@ class Service:
         return True
 
     def get_node_info(self) -> dict:
-        return {"role": self.role, "primary_address": self.primary, "replicas": [], "last_sequence": self.engine.manifest.next_seq - 1, "read_only": self.engine.read_only}
+        return self.manager.node_info()
+
+
+#: Errors that another try may not meet.
+TRANSIENT = (Conflict, ConnectionError, TimeoutError)
 
 
 class Client:
-    """Reads from the first copy, from the primary where a copy fails; writes to the primary."""
+    """Reads from the first copy, from the primary where a copy fails; writes to the primary. Calls that fail for a passing
+    reason are made again, with doubling pauses that vary by chance; every try is counted."""
+
+    def __init__(self, primary: Service, replicas: list[Service] = (), retries: int = 3, first_s: float = 0.1, most_s: float = 2.0, jitter: float = 0.2):
+        self.primary, self.replicas, self.metrics = primary, list(replicas), CallMetrics()
+        self._pauses = {"retries": retries, "first_s": first_s, "most_s": most_s, "jitter": jitter}
+
+    def _call(self, service: Service, name: str, *args, **options):
+        sent = sum(len(x) for x in args if isinstance(x, bytes)) + sum(len(w.key) + len(w.value or b"") for x in args if isinstance(x, list) for w in x)
+
+        def once():
+            began = time.perf_counter_ns()
+            try:
+                out = getattr(service, name)(*args, **options)
+            except BaseException:
+                self.metrics.record(name, time.perf_counter_ns() - began, False, sent)
+                raise
+            received = len(out[0]) if isinstance(out, tuple) else 0
+            self.metrics.record(name, time.perf_counter_ns() - began, True, sent, received)
+            return out
 
-    def __init__(self, primary: Service, replicas: list[Service] = ()):
-        self.primary, self.replicas = primary, list(replicas)
+        return retry(once, again=TRANSIENT, **self._pauses)
 
     def _read(self, name: str, *args, **options):
         for service in [*self.replicas[:1], self.primary]:
             try:
-                return getattr(service, name)(*args, **options)
-            except StoreError:
+                return self._call(service, name, *args, **options)
+            except (StoreError, *TRANSIENT):
                 if service is self.primary:
                     raise
 
@@ -115,13 +140,13 @@ class Client:
         return self._read("scan", **options)
 
     def put(self, key: bytes, value: bytes, sync: bool = False) -> bool:
-        return self.primary.put(key, value, sync)
+        return self._call(self.primary, "put", key, value, sync=sync)
 
     def delete(self, key: bytes, sync: bool = False) -> bool:
-        return self.primary.delete(key, sync)
+        return self._call(self.primary, "delete", key, sync=sync)
 
     def batch_write(self, writes: list[Write], sync: bool = False) -> bool:
-        return self.primary.batch_write(writes, sync)
+        return self._call(self.primary, "batch_write", writes, sync=sync)
 
 
 class Shell:

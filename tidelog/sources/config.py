@@ -28,6 +28,8 @@ class Config:
     file_bytes: int = 256 * 1024 * 1024
     bloom_rate: float = 0.01
     commit_retries: int = 3
+    #: Files that no version names are taken for a dead writer's after so many seconds, and for an unfinished commit's before.
+    orphan_age_s: int = 3600
 
     def __post_init__(self) -> None:
         wrong = []

@@ -27,6 +27,12 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder)))
 
+    def aged(self, folder: str) -> list[tuple[str, float]]:
+        """Names in a folder, with the time of their last change in seconds."""
+        if not self.exists(folder):
+            return []
+        return sorted((s.getPath().getName(), s.getModificationTime() / 1000) for s in self._fs.listStatus(self._path(folder)))
+
     def size(self, name: str) -> int:
         return self._fs.getContentSummary(self._path(name)).getLength() if self.exists(name) else 0
 

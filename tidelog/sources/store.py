@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.keys import table_file
-from tidelog.model import KV, LOG, Conflict, StoreError, Write
+from tidelog.model import DELETE, KV, LOG, STORED, Conflict, StoreError, Write
 from tidelog.operators.live import latest
 from tidelog.session import keep
 from tidelog.sources.config import Config
@@ -55,10 +55,10 @@ class Manifest:
     next_table: int = 1
     segments: tuple[Segment, ...] = ()
     tables: tuple[Table, ...] = ()
-    #: Deletions younger than the retention, as key in hex to (time, kept whatever its age).
-    deletions: dict[str, tuple[float, bool]] = field(default_factory=dict)
-    #: Bulk loads younger than the retention, as (first number, last number, time): when their tombstones were written.
-    bulk_loads: tuple[tuple[int, int, float], ...] = ()
+    #: Keys in hex whose tombstones stay whatever their age, as asked for one by one.
+    forced: tuple[str, ...] = ()
+    #: The greatest number among segments that retention has let go.
+    trimmed_seq: int = 0
     obsolete: tuple[str, ...] = ()
     config: Config = field(default_factory=Config)
 
@@ -70,8 +70,10 @@ class Manifest:
         x = json.loads(raw)
         x["segments"] = tuple(Segment(**s) for s in x["segments"])
         x["tables"] = tuple(Table(**t) for t in x["tables"])
-        x["deletions"] = {k: tuple(v) for k, v in x["deletions"].items()}
-        x["bulk_loads"] = tuple(tuple(v) for v in x.get("bulk_loads", ()))
+        # versions of before kept every deletion here
+        held = x.pop("deletions", {})
+        x.pop("bulk_loads", None)
+        x["forced"] = tuple(x.get("forced", [k for k, v in held.items() if v[1]]))
         x["obsolete"] = tuple(x["obsolete"])
         x["config"] = Config.loaded(x["config"])
         return cls(**x)
@@ -80,9 +82,9 @@ class Manifest:
 class Store:
     """Reads and commits versions of a store under ``root``; a reader pins a version and keeps seeing it."""
 
-    def __init__(self, spark: SparkSession, root: str, config: Config | None = None):
+    def __init__(self, spark: SparkSession, root: str, config: Config | None = None, create: bool = True):
         self.spark, self.files = spark, Files(spark, root)
-        if not self._versions():
+        if create and not self._versions():
             try:
                 self.files.create(self._name(0), Manifest(config=config or Config()).dumps())
             except Conflict:
@@ -104,12 +106,24 @@ class Store:
                 continue
         raise StoreError(f"no readable version in {self.files.root}")
 
-    def repair(self) -> None:
-        """Remove versions that were never written to their end; for the writer only."""
-        whole = self.manifest().version
+    def repair(self, now: float | None = None) -> int:
+        """Remove what a writer that died has left: versions not written to their end, and files that were never committed.
+        For the writer only; how many there were."""
+        m, broken = self.manifest(), 0
         for v in self._versions():
-            if v > whole:
+            if v > m.version:
                 self.files.delete(self._name(v))
+                broken += 1
+        return broken + len(self.remove_orphans(m, now))
+
+    def remove_orphans(self, m: Manifest, now: float | None = None) -> list[str]:
+        """Delete segments and tables that no version names and that are too old to belong to a commit under way."""
+        known = {s.path for s in m.segments} | {t.path for t in m.tables} | set(m.obsolete)
+        before = (time.time() if now is None else now) - m.config.orphan_age_s
+        gone = [f"{folder}/{name}" for folder in ("log", "tables") for name, changed in self.files.aged(folder) if f"{folder}/{name}" not in known and changed <= before]
+        for path in gone:
+            self.files.delete(path)
+        return gone
 
     def history(self) -> list[int]:
         return self._versions()
@@ -122,15 +136,23 @@ class Store:
 
     # reading
 
-    def _read(self, paths: list[str]) -> DataFrame:
+    def stored(self, paths: list[str]) -> DataFrame:
+        """The records of segments and tables, with the times of deletions."""
         if not paths:
-            return self.spark.createDataFrame([], LOG)
-        return self.spark.read.schema(LOG).parquet(*[self.files.url(p) for p in paths])
+            return self.spark.createDataFrame([], STORED)
+        return self.spark.read.schema(STORED).parquet(*[self.files.url(p) for p in paths])
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.stored(paths).select(LOG.fieldNames())
 
     def log(self, m: Manifest) -> DataFrame:
         """All records that segments still hold."""
         return self._read([s.path for s in m.segments])
 
+    def commits(self, m: Manifest, after: int = 0) -> list[Segment]:
+        """Segments with records after a number, in order: each is one commit, and none is of a writer that died before it."""
+        return sorted((s for s in m.segments if s.max_seq > after), key=lambda s: s.min_seq)
+
     def records(self, m: Manifest) -> DataFrame:
         """Records that decide the present: tables, and the segments not flushed into them."""
         paths = [t.path for t in m.tables] + [s.path for s in m.segments if s.max_seq > m.flushed_seq]
@@ -141,15 +163,19 @@ class Store:
     def write_segment(self, m: Manifest, writes: list[Write], first_seq: int | None = None) -> Segment:
         """Consecutive numbers from ``first_seq`` (the next free one) on; the segment counts once it is committed."""
         first = m.next_seq if first_seq is None else first_seq
-        rows = [(first + i, w.op, bytearray(w.key), None if w.value is None else bytearray(w.value)) for i, w in enumerate(writes)]
+        now = int(time.time() * 1e6)
+        rows = [(first + i, w.op, bytearray(w.key), None if w.value is None else bytearray(w.value), now if w.op == DELETE else None) for i, w in enumerate(writes)]
         path = f"log/{first:020d}-{uuid.uuid4().hex[:12]}"
-        self.spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(self.files.url(path))
+        self.spark.createDataFrame(rows, STORED).coalesce(1).write.parquet(self.files.url(path))
         return Segment(path, first, first + len(rows) - 1, len(rows), self.files.size(path), time.time())
 
     def write_numbered(self, rows: DataFrame) -> Segment | None:
-        """A segment of rows that already have their numbers; None for no rows."""
+        """A segment of rows that already have their numbers; None for no rows. Deletions without a time are of now."""
         path = f"log/{uuid.uuid4().hex}"
-        rows.select("seq", "op", "key", "value").write.parquet(self.files.url(path))
+        now = F.lit(int(time.time() * 1e6))
+        known = F.coalesce("deleted_at", now) if "deleted_at" in rows.columns else now
+        rows = rows.withColumn("deleted_at", F.when(F.col("op") == DELETE, known))
+        rows.select(STORED.fieldNames()).write.parquet(self.files.url(path))
         lo, hi, n = self._read([path]).agg(F.min("seq"), F.max("seq"), F.count("*")).first()
         if not n:
             self.files.delete(path)
@@ -161,8 +187,6 @@ class Store:
 
         Rows are written once to fix their order, partitions are counted, and each row gets its partition's offset.
         """
-        from tidelog.session import keep
-
         at = F.monotonically_increasing_id()
         placed = keep(rows.select("op", F.col("key").cast("binary"), F.col("value").cast("binary"), at.alias("at")), "bulk")
         part, nth = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
@@ -183,7 +207,7 @@ class Store:
         """
         stamp, files = time.time_ns(), max(config.table_files, -(-size // config.file_bytes))
         path = f"tables/{table_file(level, sequence, stamp)}"
-        dealt = rows.select("seq", "op", "key", "value").repartitionByRange(files, "key").sortWithinPartitions("key")
+        dealt = rows.select(STORED.fieldNames()).repartitionByRange(files, "key").sortWithinPartitions("key")
         dealt.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(config.bloom_rate)).parquet(self.files.url(path))
         first, last, n = self._read([path]).agg(F.min("key"), F.max("key"), F.count("*")).first()
         if not n:
