@@ -8,7 +8,7 @@ from tidelog.model import InvalidRecord, Write
 from tidelog.operators.live import live
 from tidelog.plans.engine import Engine
 from tidelog.sources.connectors import puts, read_puts, write_view
-from tidelog.sources.wal import FRAMES, decode_entry, encode_batch, frames_of, replay
+from tidelog.sources.wal import FRAMES, decode_entry, encode_batch, frames_of, log_frames, replay, to_frames
 
 
 def test_replay_of_fragments_batches_and_damage(spark):
@@ -23,6 +23,17 @@ def test_replay_of_fragments_batches_and_damage(spark):
     assert replay(spark.createDataFrame([], FRAMES)).log.count() == 0
 
 
+def test_frames_written_from_a_log(spark):
+    writes = [Write.put(b"a", b""), Write.put(b"b", b"x" * 100_000), Write.delete(b"a"), Write.put(b"c" * 32758, b"y" * (32 * 1024))]
+    log = spark.createDataFrame([(i + 1, w.op, bytearray(w.key), None if w.value is None else bytearray(w.value)) for i, w in enumerate(writes)], "seq long, op string, key binary, value binary")
+    got = sorted((r.record, r.part, r.kind, r.checksum, bytes(r.payload)) for r in log_frames(log).collect())
+    assert got == [x for i, w in enumerate(writes) for x in frames_of(i + 1, encode_record(i + 1, w))]
+    done = replay(log_frames(log).repartition(3))
+    assert done.corrupt == 0 and sorted(map(tuple, done.log.collect())) == sorted(map(tuple, log.collect()))
+    odd = to_frames(spark.createDataFrame([(1, bytearray(b"")), (2, None)], "record long, payload binary")).collect()
+    assert [(r.record, r.part, r.kind) for r in odd] == [(1, 0, 1)]
+
+
 def test_batch_codec():
     writes = [Write.put(b"a", b"1"), Write.delete(b"b")]
     raw = encode_batch(1000, writes)

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,25 +41,56 @@ def decode_record(raw: bytes) -> tuple[int, Write]:
         raise InvalidRecord("record is cut short") from error
 
 
-_DECODED = T.StructType([T.StructField(n, t) for n, t in (("seq", T.LongType()), ("op", T.StringType()), ("key", T.BinaryType()), ("value", T.BinaryType()), ("error", T.StringType()))])
-
-
-@F.pandas_udf(_DECODED)
-def decode_records(raw: pd.Series) -> pd.DataFrame:
-    """Records as columns; a corrupt one has only ``error``."""
-    rows = []
-    for x in raw:
-        try:
-            seq, w = decode_record(bytes(x or b""))
-            rows.append((seq, w.op, w.key, w.value, None))
-        except InvalidRecord as error:
-            rows.append((None, None, None, None, str(error)))
-    return pd.DataFrame(rows, columns=["seq", "op", "key", "value", "error"]).astype({"seq": "Int64"})
-
-
-@F.pandas_udf(T.BinaryType())
-def encode_records(seq: pd.Series, op: pd.Series, key: pd.Series, value: pd.Series) -> pd.Series:
-    return pd.Series([encode_record(s, Write(o, bytes(k), None if v is None else bytes(v))) for s, o, k, v in zip(seq, op, key, value, strict=True)])
+def _little(value: Column, size: int) -> Column:
+    """A whole number, not negative, as ``size`` bytes with the least first."""
+    h = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+    return F.unhex(F.concat(*(F.substring(h, 2 * i + 1, 2) for i in reversed(range(size)))))
+
+
+def _number(raw: Column, at: Column | int, size: int) -> Column:
+    """The number in ``size`` bytes with the least first; null if there are fewer, or if it is over that of a long."""
+    at = F.lit(at) if isinstance(at, int) else at
+    h = F.hex(F.substring(raw, at.cast("int"), F.lit(size)))
+    turned = F.concat(*(F.substring(h, 2 * i + 1, 2) for i in reversed(range(size))))
+    return F.when(F.length(h) == 2 * size, F.conv(turned, 16, 10).try_cast("long"))
+
+
+def encode_records(seq: str | Column, op: str | Column, key: str | Column, value: str | Column) -> Column:
+    """Records as bytes, laid out as ``encode_record`` does, in built-in functions."""
+    seq, op, key, value = (F.col(c) if isinstance(c, str) else c for c in (seq, op, key, value))
+    code = F.lit(None).cast("string")
+    for name, n in OP_CODES.items():
+        code = F.when(op == name, F.lit(f"{n:02X}")).otherwise(code)
+    value = F.coalesce(value, F.unhex(F.lit("")))
+    head = F.concat(F.unhex(code), _little(seq, 8), _little(F.length(key), 4), key)
+    return F.when(op == DELETE, head).otherwise(F.concat(head, _little(F.length(value), 4), value))
+
+
+def decode_records(raw: str | Column) -> Column:
+    """Bytes as a struct of seq, op, key, value and error, in built-in functions; a corrupt or missing record has only ``error``."""
+    raw = F.coalesce(F.col(raw) if isinstance(raw, str) else raw, F.unhex(F.lit("")))
+    code = _number(raw, 1, 1)
+    op = F.lit(None).cast("string")
+    for name, n in OP_CODES.items():
+        op = F.when(code == n, F.lit(name)).otherwise(op)
+    seq, key_size = _number(raw, 2, 8), _number(raw, 10, 4)
+    key_ok = op.isNotNull() & (key_size <= MAX_RECORD_KEY) & (F.length(raw) >= key_size + 13)
+    at = F.when(key_ok, key_size + 14)
+    key = F.when(key_ok, F.substring(raw, F.lit(14), key_size.cast("int")))
+    value_size = _number(raw, at, 4)
+    value_ok = (value_size <= MAX_RECORD_VALUE) & (F.length(raw) >= at + 3 + value_size)
+    value = F.when(value_ok, F.substring(raw, (at + 4).cast("int"), value_size.cast("int")))
+    error = (
+        F.when(F.length(raw) < 13, F.lit("record is cut short"))
+        .when(~F.coalesce(key_ok, F.lit(False)), F.lit("bad key length or type"))
+        .when(seq.isNull(), F.lit("bad sequence number"))
+        .when(op == DELETE, F.lit(None).cast("string"))
+        .when(value_size.isNull(), F.lit("record is cut short"))
+        .when(~value_ok, F.lit("bad value length"))
+    )
+    fine = error.isNull()
+    columns = {"seq": seq, "op": op, "key": key, "value": F.when(op != DELETE, value)}
+    return F.struct(*(F.when(fine, c).alias(name) for name, c in columns.items()), error.alias("error"))
 
 
 def checksum_ok(payload: str, checksum: str) -> F.Column:

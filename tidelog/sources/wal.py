@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.functions.records import checksum_ok, decode_record, encode_record
+from tidelog.functions.records import checksum_ok, decode_record, encode_record, encode_records
 from tidelog.model import BATCH, OP_CODES, InvalidRecord, Write
 
 #: Bytes of a frame's payload, and the kinds of frames (fixed values).
@@ -65,6 +65,23 @@ def frames_of(record: int, payload: bytes, size: int = FRAME_BYTES) -> list[tupl
     return [(record, i, k, zlib.crc32(p), p) for i, (k, p) in enumerate(zip(kinds, parts, strict=True))]
 
 
+def to_frames(payloads: DataFrame, size: int = FRAME_BYTES) -> DataFrame:
+    """Frames of ``(record long, payload binary)``, as ``frames_of`` cuts them, in built-in functions and with no exchange.
+
+    An empty payload is one empty frame; a null one has none.
+    """
+    rows = payloads.where(F.col("payload").isNotNull()).withColumn("n", F.greatest(F.lit(1), F.ceil(F.length("payload") / size)).cast("int"))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    kind = F.when(F.col("n") == 1, FULL).when(F.col("part") == 0, FIRST).when(F.col("part") == F.col("n") - 1, LAST).otherwise(MIDDLE)
+    rows = rows.select("record", "part", kind.cast("int").alias("kind"), F.substring("payload", F.col("part") * size + 1, F.lit(size)).alias("cut"))
+    return rows.select("record", "part", "kind", F.crc32("cut").alias("checksum"), F.col("cut").alias("payload"))
+
+
+def log_frames(log: DataFrame, size: int = FRAME_BYTES) -> DataFrame:
+    """The frames of a log of (seq, op, key, value), a record each under its number."""
+    return to_frames(log.select(F.col("seq").alias("record"), encode_records("seq", "op", "key", "value").alias("payload")), size)
+
+
 _ENTRY = T.ArrayType(T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType())]))
 
 
