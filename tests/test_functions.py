@@ -81,8 +81,14 @@ def test_fnv_vectors(spark):
 
 
 def test_codecs():
-    for codec in ("none", "zlib", "zstd"):
-        assert records.decompress(records.compress(b"abc" * 100, codec), codec) == b"abc" * 100
+    for codec in records.CODECS:
+        for data in (b"abc" * 100, b"", b"x", random.Random(1).randbytes(70_000)):
+            assert records.decompress(records.compress(data, codec), codec) == data
+        chunks = [b"one" * 50, b"", b"two", bytes(range(256)) * 300]
+        raw = b"".join(records.compress_stream(chunks, codec))
+        assert list(records.decompress_stream((raw[i : i + 37] for i in range(0, len(raw), 37)), codec)) == chunks
+        with pytest.raises(InvalidRecord):
+            list(records.decompress_stream([raw[:-1]], codec))
     with pytest.raises(ValueError):
         records.compress(b"", "lz")
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.operators import live as L
+from tidelog.operators import maintenance as M
 from tidelog.operators.scan import Scanner, filter_keys, scan
 from tidelog.operators.transactions import overlay_writes, staleness
 
@@ -112,3 +113,37 @@ def test_random_log_against_a_dict(spark):
 @pytest.mark.parametrize(("age", "idle", "read_only", "state"), [(10, 1, False, "ok"), (46, 1, False, "warning"), (55, 1, False, "critical"), (61, 1, False, "stale"), (61, 1, True, "ok"), (181, 1, True, "stale"), (40, 31, True, "stale")])
 def test_staleness(age, idle, read_only, state):
     assert staleness(1000, 1000 - age, 1000 - idle, read_only) == state
+
+
+def test_versions_of_a_hot_key(spark):
+    """Half of all records are of one key, in several ranges; the numbers are those of one window."""
+    rows = [(i, "hot" if i % 2 else f"k{i % 14:02d}") for i in range(400)]
+    log = spark.createDataFrame(rows, "seq long, key string")
+    for partitions in (1, 2, 7, 40):
+        got = {(r.key, r.version): r.seq for r in L.versions(log, partitions).collect()}
+        want = {}
+        for seq, key in sorted(rows, reverse=True):
+            want[key, sum(k == key for k, _ in want) + 1] = seq
+        assert got == want
+
+
+def test_overlaps_against_brute_force(spark):
+    rng = random.Random(5)
+    files = []
+    for i in range(120):
+        lo, width = rng.randrange(1000), rng.choice([0, 3, 30, 900])
+        files.append((i, f"{lo:04d}", f"{lo + rng.randrange(width + 1):04d}"))
+    files += [(200, None, None), (201, "0500", "0500"), (202, "0500", "0500")]
+    df = spark.createDataFrame(files, "part long, first_key string, last_key string")
+    want = sorted((a, b) for a, x, y in files for b, u, v in files if a < b and x and u and y >= u and x <= v)
+    for partitions in (1, 5, 30):
+        assert sorted(map(tuple, M.overlap_pairs(df, partitions=partitions).collect())) == want
+    raw = df.select("part", F.col("first_key").cast("binary").alias("first_key"), F.col("last_key").cast("binary").alias("last_key"))
+    pairs = M.overlap_pairs(raw)
+    assert sorted(map(tuple, pairs.collect())) == want and M.overlap_pairs(df.where("part = 200")).count() == 0
+    assert "NestedLoop" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_outlying_number_moves_no_others(spark):
+    seqs = spark.createDataFrame([(i,) for i in [*range(1, 50), *range(60, 90), 2**62]], "seq long")
+    assert sorted(map(tuple, L.sequence_gaps(seqs, 8).collect())) == [(49, 60), (89, 2**62)]

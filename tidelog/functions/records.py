@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,8 +123,11 @@ def fnv1a(value: pd.Series) -> pd.Series:
     return out
 
 
+CODECS = ("none", "zlib", "zstd", "snappy")
+
+
 def compress(data: bytes, codec: str) -> bytes:
-    """``none``, ``zlib`` or ``zstd``."""
+    """With one of CODECS."""
     if codec == "none":
         return data
     if codec == "zlib":
@@ -131,6 +136,8 @@ def compress(data: bytes, codec: str) -> bytes:
         import zstandard
 
         return zstandard.ZstdCompressor().compress(data)
+    if codec == "snappy":
+        return pa.compress(data, codec="snappy", asbytes=True)
     raise ValueError(f"unknown codec {codec}")
 
 
@@ -143,9 +150,37 @@ def decompress(data: bytes, codec: str) -> bytes:
         import zstandard
 
         return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    if codec == "snappy":
+        # the size stands first, seven bits a byte
+        size = 0
+        for i, b in enumerate(data[:5]):
+            size |= (b & 127) << 7 * i
+            if b < 128:
+                break
+        return pa.decompress(data, decompressed_size=size, codec="snappy", asbytes=True) if size else b""
     raise ValueError(f"unknown codec {codec}")
 
 
+def compress_stream(chunks: Iterable[bytes], codec: str) -> Iterator[bytes]:
+    """Each chunk by itself, with its length before it, so that a reader needs no more than one at a time."""
+    for chunk in chunks:
+        raw = compress(chunk, codec)
+        yield struct.pack("<I", len(raw)) + raw
+
+
+def decompress_stream(parts: Iterable[bytes], codec: str) -> Iterator[bytes]:
+    """The chunks again, however the bytes are parted; InvalidRecord if they end inside one."""
+    held = b""
+    for part in parts:
+        held += part
+        while len(held) >= 4 and len(held) >= 4 + struct.unpack_from("<I", held)[0]:
+            (n,) = struct.unpack_from("<I", held)
+            yield decompress(held[4 : 4 + n], codec)
+            held = held[4 + n :]
+    if held:
+        raise InvalidRecord("stream is cut short")
+
+
 def put_or_delete(op: F.Column) -> F.Column:
     """Operations as they act: MERGE writes like PUT; unknown ones raise."""
     known = F.when(op.isin(PUT, DELETE), op).when(op == "MERGE", F.lit(PUT))

@@ -38,9 +38,22 @@ def tombstones(log: DataFrame) -> DataFrame:
     return latest(log).where(F.col("op") == DELETE).select("key", "seq")
 
 
-def versions(log: DataFrame) -> DataFrame:
-    """All records with ``version``, 1 for the newest of its key."""
-    return log.withColumn("version", F.row_number().over(W.partitionBy("key").orderBy(F.desc("seq"))))
+def versions(log: DataFrame, partitions: int | None = None) -> DataFrame:
+    """All records with ``version``, 1 for the newest of its key.
+
+    Records are dealt by ranges of (key, newest first), so that a key of a third of all records is many ranges. Each range
+    numbers its own, and of the few keys that go on from one range to the next the counts before are added.
+    """
+    order = ["key", F.desc("seq")]
+    dealt = log.repartitionByRange(partitions, *order) if partitions else log.repartitionByRange(*order)
+    dealt = keep(dealt.withColumn("range", F.spark_partition_id()), "version-ranges")
+    ends = dealt.groupBy("range").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    reaching = ends.select(F.explode(F.array("first", "last")).alias("key")).distinct()
+    counts = dealt.join(F.broadcast(reaching), "key").groupBy("key", "range").agg(F.count("*").alias("n"))
+    before = counts.select("key", "range", (F.sum("n").over(W.partitionBy("key").orderBy("range")) - F.col("n")).alias("before"))
+    out = dealt.withColumn("nth", F.row_number().over(W.partitionBy("range", "key").orderBy(F.desc("seq"))))
+    out = out.join(F.broadcast(before), ["key", "range"], "left")
+    return out.select(*log.columns, (F.col("nth") + F.coalesce("before", F.lit(0))).cast("int").alias("version"))
 
 
 def merge_layers(*layers: DataFrame) -> DataFrame:
