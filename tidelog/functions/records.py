@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,18 +43,25 @@ def decode_record(raw: bytes) -> tuple[int, Write]:
         raise InvalidRecord("record is cut short") from error
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _turned(h: Column, size: int) -> Column:
+    """``size`` bytes in hex, in the other order."""
+    return _let(h, lambda x: F.concat(*(F.substring(x, 2 * i + 1, 2) for i in reversed(range(size)))))
+
+
 def _little(value: Column, size: int) -> Column:
     """A whole number, not negative, as ``size`` bytes with the least first."""
-    h = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
-    return F.unhex(F.concat(*(F.substring(h, 2 * i + 1, 2) for i in reversed(range(size)))))
+    return F.unhex(_turned(F.lpad(F.hex(value.cast("long")), 2 * size, "0"), size))
 
 
 def _number(raw: Column, at: Column | int, size: int) -> Column:
     """The number in ``size`` bytes with the least first; null if there are fewer, or if it is over that of a long."""
     at = F.lit(at) if isinstance(at, int) else at
-    h = F.hex(F.substring(raw, at.cast("int"), F.lit(size)))
-    turned = F.concat(*(F.substring(h, 2 * i + 1, 2) for i in reversed(range(size))))
-    return F.when(F.length(h) == 2 * size, F.conv(turned, 16, 10).try_cast("long"))
+    return _let(F.substring(raw, at.cast("int"), F.lit(size)), lambda x: F.when(F.length(x) == size, F.conv(_turned(F.hex(x), size), 16, 10).try_cast("long")))
 
 
 def encode_records(seq: str | Column, op: str | Column, key: str | Column, value: str | Column) -> Column:
@@ -70,29 +77,33 @@ def encode_records(seq: str | Column, op: str | Column, key: str | Column, value
 
 def decode_records(raw: str | Column) -> Column:
     """Bytes as a struct of seq, op, key, value and error, in built-in functions; a corrupt or missing record has only ``error``."""
-    raw = F.coalesce(F.col(raw) if isinstance(raw, str) else raw, F.unhex(F.lit("")))
-    code = _number(raw, 1, 1)
-    op = F.lit(None).cast("string")
-    for name, n in OP_CODES.items():
-        op = F.when(code == n, F.lit(name)).otherwise(op)
-    seq, key_size = _number(raw, 2, 8), _number(raw, 10, 4)
-    key_ok = op.isNotNull() & (key_size <= MAX_RECORD_KEY) & (F.length(raw) >= key_size + 13)
-    at = F.when(key_ok, key_size + 14)
-    key = F.when(key_ok, F.substring(raw, F.lit(14), key_size.cast("int")))
-    value_size = _number(raw, at, 4)
-    value_ok = (value_size <= MAX_RECORD_VALUE) & (F.length(raw) >= at + 3 + value_size)
-    value = F.when(value_ok, F.substring(raw, (at + 4).cast("int"), value_size.cast("int")))
-    error = (
-        F.when(F.length(raw) < 13, F.lit("record is cut short"))
-        .when(~F.coalesce(key_ok, F.lit(False)), F.lit("bad key length or type"))
-        .when(seq.isNull(), F.lit("bad sequence number"))
-        .when(op == DELETE, F.lit(None).cast("string"))
-        .when(value_size.isNull(), F.lit("record is cut short"))
-        .when(~value_ok, F.lit("bad value length"))
-    )
-    fine = error.isNull()
-    columns = {"seq": seq, "op": op, "key": key, "value": F.when(op != DELETE, value)}
-    return F.struct(*(F.when(fine, c).alias(name) for name, c in columns.items()), error.alias("error"))
+
+    def of(raw: Column) -> Column:
+        code = F.substring(raw, 1, 1)
+        op = F.lit(None).cast("string")
+        for name, n in OP_CODES.items():
+            op = F.when(code == F.lit(bytearray([n])), F.lit(name)).otherwise(op)
+        return _let(F.struct(op.alias("op"), _number(raw, 2, 8).alias("seq"), _number(raw, 10, 4).alias("size")), lambda h: with_key(raw, h))
+
+    def with_key(raw: Column, h: Column) -> Column:
+        ok = h["op"].isNotNull() & (h["size"] <= MAX_RECORD_KEY) & (F.length(raw) >= h["size"] + 13)
+        return _let(F.when(ok, h["size"] + 14), lambda at: _let(_number(raw, at, 4), lambda size: whole(raw, h, at, size)))
+
+    def whole(raw: Column, h: Column, at: Column, size: Column) -> Column:
+        error = (
+            F.when(F.length(raw) < 13, F.lit("record is cut short"))
+            .when(at.isNull(), F.lit("bad key length or type"))
+            .when(h["seq"].isNull(), F.lit("bad sequence number"))
+            .when(h["op"] == DELETE, F.lit(None).cast("string"))
+            .when(size.isNull(), F.lit("record is cut short"))
+            .when((size > MAX_RECORD_VALUE) | (F.length(raw) < at + 3 + size), F.lit("bad value length"))
+        )
+        key = F.substring(raw, F.lit(14), h["size"].cast("int"))
+        value = F.when(h["op"] != DELETE, F.substring(raw, (at + 4).cast("int"), size.cast("int")))
+        columns = {"seq": h["seq"], "op": h["op"], "key": key, "value": value}
+        return _let(error, lambda e: F.struct(*(F.when(e.isNull(), c).alias(name) for name, c in columns.items()), e.alias("error")))
+
+    return _let(F.coalesce(F.col(raw) if isinstance(raw, str) else raw, F.unhex(F.lit(""))), of)
 
 
 def checksum_ok(payload: str, checksum: str) -> F.Column:
