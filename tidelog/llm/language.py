@@ -10,9 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.session import keep
+
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
 #: Bounds of the training sample: documents a language and of all languages (as expected by a hash), windows a document.
 SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_WINDOWS = 400, 40_000, 6
+#: Bytes of the table of languages that is sent to every task; a larger one is joined by a shuffle.
+SMALL = 8 << 20
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.02, 7
 UNKNOWN = "und"
 #: Windows whose responses are held at once.
@@ -117,14 +121,14 @@ def fit(docs: DataFrame, learn: F.Column, text_col: str = "text", lang_col: str
     all ask for it, chosen by a hash of their id, and up to SAMPLE_WINDOWS windows spread over each whole text."""
     rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.pmod(F.xxhash64(f"`{id_col}`", F.lit(SEED)), F.lit(1 << 30)).alias("h"), learn.alias("learn"))
     rows = rows.where("learn and lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count()
-    # every language is learned: of many each gives fewer documents
-    n = counts.count()
+    counts = keep(rows.groupBy("lang").count(), "languages")
+    n, size = counts.agg(F.count("*"), F.sum(F.octet_length("lang") + 16)).first()
     if not n:
         return None
+    # every language is learned: of many each gives fewer documents
     most = max(1.0, min(SAMPLE_DOCS, SAMPLE_ALL / n))
     share = counts.select("lang", (F.least(F.lit(1.0), most / F.col("count")) * (1 << 30)).alias("share"))
-    found = rows.join(share, "lang").where(F.col("h") <= F.col("share")).select("lang", "text").mapInArrow(_sample_windows, "lang string, bytes binary").collect()
+    found = rows.join(F.broadcast(share) if size <= SMALL else share, "lang").where(F.col("h") <= F.col("share")).select("lang", "text").mapInArrow(_sample_windows, "lang string, bytes binary").collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["bytes"])))
     labels = sorted({r["lang"] for r in found})
     net = Network(labels)
