@@ -50,7 +50,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _turned(h: Column, size: int) -> Column:
     """``size`` bytes in hex, in the other order."""
-    return _let(h, lambda x: F.concat(*(F.substring(x, 2 * i + 1, 2) for i in reversed(range(size)))))
+    return F.concat(*(F.substring(h, 2 * i + 1, 2) for i in reversed(range(size))))
 
 
 def _little(value: Column, size: int) -> Column:
@@ -61,7 +61,7 @@ def _little(value: Column, size: int) -> Column:
 def _number(raw: Column, at: Column | int, size: int) -> Column:
     """The number in ``size`` bytes with the least first; null if there are fewer, or if it is over that of a long."""
     at = F.lit(at) if isinstance(at, int) else at
-    return _let(F.substring(raw, at.cast("int"), F.lit(size)), lambda x: F.when(F.length(x) == size, F.conv(_turned(F.hex(x), size), 16, 10).try_cast("long")))
+    return _let(F.hex(F.substring(raw, at.cast("int"), F.lit(size))), lambda h: F.when(F.length(h) == 2 * size, F.conv(_turned(h, size), 16, 10).try_cast("long")))
 
 
 def encode_records(seq: str | Column, op: str | Column, key: str | Column, value: str | Column) -> Column:
