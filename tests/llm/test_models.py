@@ -181,6 +181,9 @@ def test_insults_of_two_words():
 def test_pairs_are_told_from_their_numbers():
     s = sample([("One two three. Four five", 1), ("five one", 0)])
     assert sorted(s.pairs_of(s.pairs[0])) == ["four five", "one two", "two three."] and s.pairs_of(s.pairs[1]) == ["five one"]
+    assert len(toxicity._pair_numbers("")) == 0 == len(toxicity._pair_numbers("one.\n\ntwo"))
+    long_ = "x" * 40
+    assert len(toxicity._pair_numbers(f"{long_} {long_} a b a b")) == len(toxicity.pairs(f"{long_} {long_} a b a b")) == 3
     assert toxicity.pairs("a b. c\nd e") == {"a b.", "d e"}
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ MOST_PAIRS, OTHER_PAIRS = 500, 4000
 #: Units of a generation whose margins a task remembers (it keeps two).
 MEMO_UNITS = 100_000
 _SIZE = 32
-_ODD, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+_ODD = 0x9E3779B97F4A7C15
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -74,14 +75,19 @@ def pairs(text: str) -> set[str]:
     return out
 
 
+@lru_cache(200_000)
 def _number(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-def _pair_numbers(text: str) -> list[int]:
-    """Pairs as numbers from which, with the words at hand, they can be told again."""
-    at = ((_number(a), _number(b)) for a, b in (p.split(" ", 1) for p in pairs(text)))
-    return sorted({((a * _ODD + b) & _MASK) - (1 << 63) for a, b in at})
+def _pair_numbers(text: str) -> np.ndarray:
+    """The pairs of a text as numbers from which, with the words at hand, they can be told again."""
+    words = [s.split() for s in sentences(text.lower())]
+    of = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    size = np.array([len(w) for ws in words for w in ws], np.int64)
+    h = np.array([_number(w) for ws in words for w in ws], np.uint64)
+    side = (of[1:] == of[:-1]) & (size[1:] + size[:-1] < UNIT_CHARS)
+    return np.unique((h[:-1] * np.uint64(_ODD) + h[1:])[side] ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def _occurrences(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
