@@ -92,7 +92,7 @@ def _by_word(path: str, value: Callable, joined: Callable) -> Callable[[list[str
         fast = [words_of is not None and bool(_SAFE.fullmatch(t)) and not any(s in t for s in special) for t in texts]
         words = [words_of(t) if ok else () for t, ok in zip(texts, fast, strict=True)]
         new = []
-        for w in {w for ws in words for w in ws if w not in memo}:
+        for w in set().union(*words).difference(memo):
             if w in before:
                 memo[w] = before[w]
             else:
