@@ -1,12 +1,14 @@
 import random
 import re
 import time
+from pathlib import Path
 
 import numpy as np
 import xxhash
 from samples import prose
 
 from tidelog.llm.repeats import GRAM, LEAST_WORDS, RAGGED, WINDOW, remove_repeats, repeated_passages, taken, units
+from tidelog.session import shared_dir
 
 
 def plain_units(text):
@@ -217,3 +219,28 @@ def test_time_goes_with_the_text(spark):
     got = {r.doc_id: r for r in remove_repeats(df).collect()}
     assert time.time() - began < 60
     assert got[1].text == dots and got[2].text.rstrip("\n") == "On and on. Off."
+
+
+def test_what_is_shuffled_lies_on_disk_part_by_part(spark):
+    """No query shuffles more than a part of the places, and it and the places are gone from the disk before the result is asked for."""
+    texts = [sentences(f"part{i}-", 40) for i in range(60)]
+    df = spark.createDataFrame([*enumerate(texts), (100, texts[0])], "doc_id long, text string").repartition(3).localCheckpoint()
+    store, env = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.org.apache.spark.SparkEnv.get()
+
+    def written():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    def on_disk():
+        files = env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f for f in files if "shuffle_" in f} | {str(f) for f in Path(shared_dir(spark), "tidelog").glob("*units-*")}
+
+    stages, files = set(written()), on_disk()
+    out = repeated_passages(df)
+    until = time.time() + 20
+    while on_disk() - files and time.time() < until:
+        time.sleep(0.2)
+    assert not on_disk() - files
+    sent = [n for stage, n in written().items() if stage not in stages]
+    assert 0 < max(sent) < sum(len(list(units(x))) for x in texts) / 2
+    assert [(r.doc_id, r.start, r.end, r.kept_doc_id) for r in out.collect()] == [(100, 0, len(texts[0]), 0)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import chain
 
 import numpy as np
@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.session import keep
+from tidelog.session import clearing, forget, keep
 
 #: Words that repeated sentences in a row hold together before they are removed; whole lines go at any length.
 LEAST_WORDS = 20
@@ -25,6 +25,8 @@ RAGGED = 8
 MEMORY = 200_000
 #: Units handed on at once.
 STEP = 100_000
+#: Parts of the digests, a power of two, grouped one after another: what is shuffled lies on disk for one part only.
+PARTS = 4
 #: Where a unit ends, found in one pass: after a mark that white space or the end follows, or before a line break.
 _END, _BEGIN = re.compile(r"[.!?](?=\s|\Z)|\n"), re.compile(r"\S")
 #: ``at`` is the place of the first word among the text's; ``lines`` is 0 for a part of a line, 1 for a unit that is a whole
@@ -229,14 +231,22 @@ def _runs(least_words: int, whole_lines: bool):
 def _spans(rows: DataFrame, least_words: int | None) -> DataFrame:
     """(rid, doc_id, start, end, n_units, n_words, kept_doc_id) of the runs to remove, from rows of (rid, doc_id, text)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = keep(rows.mapInArrow(partial(_units, grams=least_words is None), _PLACE.format(kind=kind)), "units")
+    found = rows.mapInArrow(partial(_units, grams=least_words is None), _PLACE.format(kind=kind))
+    found = keep(found.withColumn("part", F.col("h1").bitwiseAND(PARTS - 1).cast("int")), "units", "part")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "at")
-    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    again = found.join(keep(first, "repeated-units"), ["h1", "h2"])
     # a gram that overlaps its own first occurrence is no repeat
     apart = F.when(F.col("lines") < 0, F.col("words")).otherwise(1)
-    again = again.where((F.col("rid") != F.col("first.rid")) | (F.col("at") - F.col("first.at") >= apart))
-    again = again.select("rid", "doc_id", "at", "start", "end", "words", "lines", F.col("first.doc_id").alias("kept"))
+    repeats = []
+    with clearing(rows.sparkSession):
+        for i in range(PARTS):
+            places = found.where(F.col("part") == i)
+            first = places.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+            first = keep(first, "repeated-units")
+            again = places.join(first, ["h1", "h2"]).where((F.col("rid") != F.col("first.rid")) | (F.col("at") - F.col("first.at") >= apart))
+            repeats.append(keep(again.select("rid", "doc_id", "at", "start", "end", "words", "lines", F.col("first.doc_id").alias("kept")), "repeats"))
+            forget(first)
+    forget(found)
+    again = reduce(DataFrame.union, repeats)
     again = again.repartition("rid").sortWithinPartitions("rid", "at", F.desc("lines"))
     solve = _runs(LEAST_WORDS if least_words is None else least_words, least_words is None)
     return again.mapInArrow(solve, _SPAN.format(kind=kind))
@@ -253,7 +263,8 @@ def repeated_passages(docs: DataFrame, least_words: int | None = None, id_col: s
     under RAGGED words of it. ``least_words`` asks for runs of units of that length alone. Offsets are code points of the original text; ``kept_doc_id`` has the first occurrence of the first
     unit or gram; ``n_units`` counts whole units.
     A hot unit is reduced by partial aggregation, and in the join with the (written) table of repeated digests
-    its partition can be split. Cases: null and empty texts have no units; null doc_ids rank last; repeated rows
+    its partition can be split. Digests are grouped in PARTS by their own bits, one after another, and what a part shuffled is
+    removed before the next. Cases: null and empty texts have no units; null doc_ids rank last; repeated rows
     are rows of their own, the later ones repeats; repeats within a text count; an empty table gives no rows;
     further columns are ignored.
     """

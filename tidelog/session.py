@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _fallback: dict[str, str] = {}
 
 
@@ -55,15 +56,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _scopes: list[list[str]] = []
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    Cuts the lineage and outlives any executor; what is read twice is computed once. The table stays until ``forget``, or the
-    end of the ``passing`` block it was made in.
+    Cuts the lineage and outlives any executor; what is read twice is computed once. Rows that differ in ``by`` are in files of
+    their own. The table stays until ``forget``, or the end of the ``passing`` block it was made in.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(by) or None)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_path = path
     if _scopes:
@@ -78,6 +79,17 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def clearing(spark: SparkSession) -> Iterator[None]:
+    """What a query shuffles meanwhile goes from the disks as it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP_KEY)
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP_KEY, before)
+
+
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables kept meanwhile are removed at the end, but for those handed to the function that it gives, which belong to the
