@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -152,6 +153,27 @@ def test_toxicity_query(spark, edge_docs, no_docs):
     assert {r.score for r in toxicity.toxicity(edge_docs, labels.where("false")).collect()} == {0.0}
 
 
+def test_the_driver_holds_no_sample(spark, monkeypatch):
+    """Tasks learn: what the driver collects is the model, which is that of the same sample learned at once."""
+    rows = bags(120, "far")
+    docs = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, toxic int")
+    used = [r for i, r in enumerate(rows) if zlib.crc32(str(i).encode()) % 5]
+    want = train(sample(used), sum(t for _, t in used) / len(used))
+
+    driver = os.getpid()
+
+    def apart(*x):
+        assert os.getpid() != driver, "the sample is on the driver"
+        return train(*x)
+
+    monkeypatch.setattr(toxicity, "train", apart)
+    got = toxicity.fit(docs, labels)
+    assert np.allclose(got.table, want.table, atol=1e-6) and got.pairs == want.pairs
+    assert np.allclose([got.bias, got.slope, got.offset], [want.bias, want.slope, want.offset], atol=1e-4)
+    assert toxicity.fit(docs.where("false"), labels) is None and toxicity.fit(docs, labels.where("toxic = 1")) is None
+
+
 def two_word_bags(n, seed):
     """Two words that are harmless apart and an insult side by side."""
     rng, out = random.Random(seed), []

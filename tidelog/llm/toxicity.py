@@ -431,9 +431,30 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string())), pa.array(map(_pair_numbers, texts), pa.list_(pa.int64()))], names=["toxic", "units", "pairs"])
 
 
+_MODEL = "table binary, bias double, slope double, offset double, pairs boolean"
+
+
+def _learn(toxic_share: float):
+    """A row of the model learned from all batches together; none where there is nothing to learn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        sample = Sample.of(pa.Table.from_batches(held)) if held else None
+        # the rows are not needed beside the sample, and their memory is the executor's
+        held.clear()
+        pa.default_memory_pool().release_unused()
+        model = train(sample, toxic_share) if sample else None
+        if model:
+            columns = [model.table.astype(np.float64).tobytes()], [model.bias], [model.slope], [model.offset], [model.pairs]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["table", "bias", "slope", "offset", "pairs"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Train on about SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents, chosen by a hash of their id from the rows
-    whose crc32 of doc_id as text does not leave ``held_out`` by ``folds``; sampled texts are taken whole."""
+    whose crc32 of doc_id as text does not leave ``held_out`` by ``folds``; sampled texts are taken whole. One task of an
+    executor holds the sample, whose bound does not grow with the input, and learns from it; the driver gets the model."""
     at = F.col(f"`{id_col}`")
     marks = labels.where(F.col(label_col).isin(0, 1) & (F.crc32(at.cast("string")) % folds != held_out))
     marks = marks.groupBy(at.alias("id")).agg(F.max(F.col(label_col)).alias("toxic"))
@@ -445,8 +466,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, i
     chosen = marks.where(h < share * (1 << 30))
     # the sample's bound is also that of what is sent to every task; the texts are not moved
     found = docs.select(at.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    bags = found.select(F.col("toxic").cast("int"), "text").mapInArrow(_bags, "toxic int, units array<string>, pairs array<long>").toArrow()
-    return train(Sample.of(bags), counts[1] / (counts[0] + counts[1]))
+    bags = found.select(F.col("toxic").cast("int"), "text").mapInArrow(_bags, "toxic int, units array<string>, pairs array<long>")
+    # one task learns from the sample, so that the driver holds the model only
+    learned = bags.repartition(1).mapInArrow(_learn(counts[1] / (counts[0] + counts[1])), _MODEL).collect()
+    return next((Model(np.frombuffer(r.table), r.bias, r.slope, r.offset, r.pairs) for r in learned), None)
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
